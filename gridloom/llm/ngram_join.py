@@ -30,8 +30,12 @@ from .shingles import shingle_sets
 
 #: Rows of a column that are multiplied with each other in one task.
 BLOCK = 4096
+#: Rows of one column that are held at once when rows without a possible partner are dropped; parts of longer columns are judged alone, #: so only rows that have no partner in any size go.
+LONGEST = 1 << 22
 #: Mean length of columns that still hold several components, up to which they are multiplied whole at once.
-LONG = 64
+LONG = 512
+#: Sparse rounds at most.
+ROUNDS = 2
 #: Most frequent shingles whose frequency the column order knows.
 RANKED = 1 << 17
 #: Bits of the filter by which the second reading of the texts finds rows that have a candidate; a false hit only costs.
@@ -114,33 +118,65 @@ def _columns(b: pa.RecordBatch) -> list[np.ndarray]:
     return [c.to_numpy(zero_copy_only=False) for c in b.columns]
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (h, n, fp): those whose column has another row, with the number of their block in it. State: one row."""
-    pend, flag, rank = None, False, 0
+def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Rows of whole columns with their place in the column; a column of over ``LONGEST`` rows comes in parts."""
+    held: list[list[np.ndarray]] = []
+    count, last = 0, None
     for b in batches:
         if not b.num_rows:
             continue
-        c = _columns(b)
-        if pend is not None:
-            c = [np.concatenate(([p], x)) for p, x in zip(pend, c)]
-        h, fp = c[0], c[2]
+        held.append(_columns(b))
+        if sum(len(x[0]) for x in held) < 20_000:
+            continue
+        c = [np.concatenate(x) for x in zip(*held)]
+        cuts = np.flatnonzero(c[0][1:] != c[0][:-1]) + 1
+        cut = int(cuts[-1]) if len(cuts) else len(c[0]) if len(c[0]) >= LONGEST else 0
+        held = [[x[cut:] for x in c]] if cut < len(c[0]) else []
+        if cut:
+            own = [x[:cut] for x in c]
+            ranks = _places(own[0])
+            if last == own[0][0]:
+                ranks[own[0] == last] += count
+            last, count = own[0][-1], int(ranks[-1]) + 1
+            yield [*own, ranks]
+    if held:
+        own = [np.concatenate(x) for x in zip(*held)]
+        ranks = _places(own[0])
+        if len(ranks) and last == own[0][0]:
+            ranks[own[0] == last] += count
+        yield [*own, ranks]
+
+
+def _places(h: np.ndarray) -> np.ndarray:
+    at = np.arange(len(h))
+    start = np.ones(len(h), bool)
+    start[1:] = h[1:] != h[:-1]
+    return at - np.maximum.accumulate(np.where(start, at, 0))
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (h, n, fp): those that may link by their column, each with the number of its block in it.
+
+    A row goes if no other row of its column has a size that its own size and position still allow; twice, as rows that go free others.
+    """
+    for h, n, fp, pos, rank in _ranked(batches):
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (fp[1:] != fp[:-1])
-        h, n, fp, pos = (x[new] for x in c)
-        same = np.zeros(len(h) + 1, bool)
-        same[1:-1] = h[1:] == h[:-1]
-        same[0] = flag if pend is not None else False
-        at = np.arange(len(h))
-        first = np.maximum.accumulate(np.where(same[:-1], 0, at))
-        ranks = at - first
-        if same[0]:
-            ranks[: int(np.argmin(same[:-1])) if not same[:-1].all() else len(h)] += rank
-        keep = (same[:-1] | same[1:])[:-1]
-        if keep.any():
-            yield _batch(_ROWS + ", blk int", h[:-1][keep], n[:-1][keep], fp[:-1][keep], pos[:-1][keep], ranks[:-1][keep] // BLOCK)
-        pend, flag, rank = (h[-1], n[-1], fp[-1], pos[-1]), bool(same[len(h) - 1]), int(ranks[-1])
-    if pend is not None and flag:
-        yield _batch(_ROWS + ", blk int", *([x] for x in pend), [rank // BLOCK])
+        h, n, fp, pos, rank = (x[new] for x in (h, n, fp, pos, rank))
+        for _ in range(2):
+            if not len(h):
+                break
+            run = np.concatenate(([0], np.cumsum(h[1:] != h[:-1])))
+            wide = np.int64(1) << 32
+            key = run * wide + n
+            low = run * wide + (3 * n.astype(np.int64) + 3) // 4
+            at = np.searchsorted(key, low)
+            itself = at == np.arange(len(h))
+            at = np.minimum(at + itself, len(h) - 1)
+            keep = (run[at] == run) & (at != np.arange(len(h))) & (3 * n[at].astype(np.int64) <= 4 * n.astype(np.int64) - 7 * pos)
+            h, n, fp, pos, rank = (x[keep] for x in (h, n, fp, pos, rank))
+        if len(h):
+            yield _batch(_ROWS + ", blk int", h, n, fp, pos, rank // BLOCK)
 
 
 def _may_link(n1, p1, n2, p2):
@@ -287,11 +323,17 @@ def ngram_jaccard_components(docs: DataFrame, scratch: Scratch | None = None) ->
     own = F.col("fp").alias("comp")
     pairs = shared.select("h", "n", "fp", "pos", own).repartition("h").sortWithinPartitions("h", "n", "fp").mapInArrow(_sparse, "a long, b long")
     tried = scratch.save(pairs.distinct(), "tried")
-    bits = sc.broadcast(_bitmap(shared.select("fp")))
-    whole = scratch.save(texts.mapInArrow(_wanted(bits), "fp long, s binary").dropDuplicates(["fp"]), "sets")
-    links = scratch.save(_linked(tried, whole), "links")
 
-    last, found_more = False, True
+    def linked(pairs: DataFrame) -> DataFrame:
+        bits = sc.broadcast(_bitmap(pairs.select(F.explode(F.array("a", "b")).alias("fp"))))
+        whole = scratch.save(texts.mapInArrow(_wanted(bits), "fp long, s binary").dropDuplicates(["fp"]), "sets")
+        out = scratch.save(_linked(pairs, whole), "links")
+        scratch.drop(whole)
+        return out
+
+    links = linked(tried)
+
+    last, found_more, rounds = False, True, 0
     while not last:
         comps = scratch.save(components(links, scratch), "comps")
         rows = shared.join(comps.withColumnsRenamed({"v": "fp", "c": "comp"}), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
@@ -300,8 +342,8 @@ def ngram_jaccard_components(docs: DataFrame, scratch: Scratch | None = None) ->
         some = rows.agg(F.count("*"), F.sum("m")).first()
         if not some[0]:
             break
-        # Sparse rounds go on while they join components and the columns left are long; what they leave is multiplied whole.
-        last = some[1] <= LONG * some[0] or not found_more
+        # Sparse rounds go on while they join components and the columns left are long, ROUNDS times at most; what they leave is multiplied whole.
+        last, rounds = some[1] <= LONG * some[0] or not found_more or rounds == ROUNDS, rounds + 1
         if last:
             other = F.explode(F.sequence(F.lit(0), F.col("top")))
             dealt = rows.withColumn("o", other).select("h", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "n", "fp", "pos", "blk", "comp")
@@ -309,7 +351,7 @@ def ngram_jaccard_components(docs: DataFrame, scratch: Scratch | None = None) ->
         else:
             pairs = rows.select("h", "n", "fp", "pos", "comp").repartition("h").sortWithinPartitions("h", "n", "fp").mapInArrow(_sparse, "a long, b long")
         new = scratch.save(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "tried")
-        found = scratch.save(_linked(new, whole), "links")
+        found = linked(new)
         found_more = last or not found.isEmpty()
         links, tried = links.unionAll(found), tried.unionAll(new)
 
