@@ -4,14 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join
-from .common import table
+import public_tokenizers
+
+from . import containment, ngram_join, piece_codec, token_orc
+from .common import Scratch, table
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard,)}
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return containment.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Scratch(spark).path("tokens")
+    token_orc.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end=2)
+    return token_orc.digests(spark, path)
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.digests(piece_codec.encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op5_decontamination, op7_token_orc, op8_sentencepiece)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op5_decontamination": containment.SQL}

@@ -9,8 +9,8 @@ import numpy as np
 #: Words of a shingle.
 WORDS = 5
 #: White space that parts words: space and the five control characters 9 to 13.
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += np.uint64(32)
 _LOWER += np.uint64(1)
@@ -38,7 +38,7 @@ def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
 def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte start and end of every word, and for each document the index of its first word (one more at the end)."""
     n = len(data)
-    solid = ~_SPACE[data]
+    solid = ~SPACE[data]
     edge = np.zeros(n + 1, bool)
     edge[offs] = True
     before = np.ones(n, bool)
