@@ -6,8 +6,9 @@ satisfy 7 o >= 3 (a + b), which is Jaccard >= 0.75. The product is never formed
 1. Columns are put in one global order, rare ones first. A row of n shingles can only link with rows that share one of its first
    floor(n / 4) + 1 columns, so only this prefix of the incidence is dealt to blocks of columns (a shuffle by shingle).
 2. A block multiplies its columns: rows that share a column and whose sizes and positions still allow the overlap are kept. A column
-   is first multiplied sparsely (every row with the first row of its size band and with its neighbour by size). The kept pairs get
-   their whole overlap, and linked rows are joined to components.
+   is first multiplied sparsely (every row with the first row of its size band and with its neighbour by size). The kept pairs are
+   multiplied over folded columns (ranges of hashes), an upper bound that few unlike pairs reach, then over all columns, and linked
+   rows are joined to components.
 3. Then every pair of rows of *different* components that share a column is multiplied, in blocks of at most ``BLOCK`` rows of a
    column, so no link between components is missed; pairs inside a component cannot change the result and are not formed.
 
@@ -23,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import Scratch, ship, steps, utf8
 from .components import components
@@ -33,9 +35,13 @@ BLOCK = 4096
 #: Rows of one column that are held at once when rows without a possible partner are dropped; parts of longer columns are judged alone, #: so only rows that have no partner in any size go.
 LONGEST = 1 << 22
 #: Mean length of columns that still hold several components, up to which they are multiplied whole at once.
-LONG = 512
+LONG = 64
+#: Earlier columns that a row knows when columns are multiplied whole.
+EARLIER = 4
+#: Runs of other components that a row looks back on in a sparse round.
+DEPTH = 4
 #: Sparse rounds at most.
-ROUNDS = 2
+ROUNDS = 4
 #: Most frequent shingles whose frequency the column order knows.
 RANKED = 1 << 17
 #: Bits of the filter by which the second reading of the texts finds rows that have a candidate; a false hit only costs.
@@ -216,7 +222,7 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int, most: int = 200_000) ->
 
 
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each row of a column with the first of its size band, and with the last row before it of another component."""
+    """Each row of a column with the first of its size band, and with the last rows of the DEPTH runs of other components before it."""
     for h, n, fp, pos, comp in _runs(batches, 1):
         at = np.arange(len(h))
         start = np.ones(len(h), bool)
@@ -229,8 +235,12 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         other[1:] |= comp[1:] != comp[:-1]
         other = np.maximum.accumulate(np.where(other, at, 0)) - 1
         first = np.maximum.accumulate(np.where(start, at, 0))
-        a, b = np.concatenate((lead, other)), np.concatenate((at, at))
-        ok = (a >= np.concatenate((lead, first))) & (a < b)
+        partner, tries = other, [lead]
+        for _ in range(DEPTH):
+            tries.append(partner)
+            partner = np.where(partner > 0, other[partner], -1)
+        a, b = np.concatenate(tries), np.tile(at, len(tries))
+        ok = (a >= first[b]) & (a < b)
         a, b = a[ok], b[ok]
         a, b = (x[(comp[a] != comp[b]) & _may_link(n[a], pos[a], n[b], pos[b])] for x in (a, b))
         if len(a):
@@ -238,8 +248,11 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs of rows of different components in a block (of one column, sorted by size) that may link."""
-    for h, i, j, n, fp, pos, blk, comp in _runs(batches, 3, 1 << 60):
+    """All pairs of rows of different components in a block (of one column, sorted by size) that may link.
+
+    A row knows the last EARLIER columns that it has before this one; two rows that share one of those meet there, or yet earlier.
+    """
+    for h, i, j, n, fp, pos, blk, comp, *earlier in _runs(batches, 3, 1 << 60):
         group = np.zeros(len(h), np.int64)
         group[1:] = np.cumsum((h[1:] != h[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))
         a, d = np.arange(len(h)), 1
@@ -251,29 +264,66 @@ def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(a):
                 break
             ok = (comp[a] != comp[b]) & ((blk[a] != blk[b]) | (i[a] == j[a])) & _may_link(n[a], pos[a], n[b], pos[b])
-            if ok.any():
-                x, y = fp[a[ok]], fp[b[ok]]
-                yield _batch("a long, b long", np.minimum(x, y), np.maximum(x, y))
+            x, y = a[ok], b[ok]
+            for e in earlier if len(x) else ():
+                known = e[x] != 0
+                met = np.zeros(len(x), bool)
+                for f in earlier:
+                    met |= e[x] == f[y]
+                keep = ~(met & known)
+                x, y = x[keep], y[keep]
+            if len(x):
+                yield _batch("a long, b long", np.minimum(fp[x], fp[y]), np.maximum(fp[x], fp[y]))
             d += 1
 
 
-def _wanted(bits):
-    """The sets of documents whose fingerprint passes the filter, once a task."""
+def _fold(s: np.ndarray) -> bytes:
+    """Shingles of a set by ranges of their hashes, a byte each: about as many ranges as half to all of the set's size. Empty: no such table."""
+    bits = max(len(s).bit_length() - 1, 3)
+    n = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return n.astype(np.uint8).tobytes() if n.max() < 256 else b""
+
+
+def _most(x: bytes, y: bytes, n1: int, n2: int) -> int:
+    """The most that two sets' overlap can be by their folded columns."""
+    if not x or not y:
+        return min(n1, n2)
+    x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if len(x) > len(y):
+        x, y = y, x
+    if len(x) < len(y):
+        y = y.reshape(len(x), -1).sum(1)
+    return int(np.minimum(x, y).sum())
+
+
+def _wanted(bits, of_ids):
+    """Sets, and their folded columns, of documents whose fingerprint and id pass the filters: the first document of each class, and few others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field, seen = np.unpackbits(np.frombuffer(bits.value, np.uint8), bitorder="little"), set()
+        prints, ids = (np.frombuffer(x.value, np.uint8) for x in (bits, of_ids))
+        seen: set[int] = set()
+        on = lambda field, k: field[(k := k & (FILTER_BITS - 1)) >> 3] >> (k & 7) & 1
         for b in steps(batches, "text"):
+            own = np.array(b.column(0).to_numpy(zero_copy_only=False))
+            b = b.filter(pa.array(np.fromiter((bool(on(ids, k)) for k in own.tolist()), bool, len(own))))
             out = []
-            for s in shingle_sets(*utf8(b.column(0))):
-                if len(s) and (fp := _print(s)[0]) not in seen and field[fp & (FILTER_BITS - 1)]:
+            for s in shingle_sets(*utf8(b.column(1))):
+                if len(s) and (fp := _print(s)[0]) not in seen and on(prints, fp):
                     seen.add(fp)
-                    out.append((fp, s.tobytes()))
+                    out.append((fp, len(s), _fold(s), s.tobytes()))
             if out:
-                yield _batch("fp long, s binary", [o[0] for o in out], [o[1] for o in out])
+                yield _batch("fp long, n int, f binary, s binary", *([o[k] for o in out] for k in range(4)))
 
     return run
 
 
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose product over folded columns still reaches the bound that their sizes set."""
+    for b in batches:
+        keep = [7 * _most(x, y, n1, n2) >= 3 * (n1 + n2) for n1, n2, x, y in zip(*(b.column(k).to_pylist() for k in range(2, 6)))]
+        yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Whole overlap counts of a block of pairs; those below the bound that their sizes set go."""
     for b in batches:
@@ -287,9 +337,9 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch("a long, b long", [x[0] for x in links], [x[1] for x in links])
 
 
-def _bitmap(keys: DataFrame) -> bytes:
-    """A filter of FILTER_BITS bits over a long column fp: as many bytes for any input."""
-    at = keys.select((F.col("fp").bitwiseAND(F.lit(FILTER_BITS - 1)) + 1).alias("k"))
+def _bitmap(keys: DataFrame, column: str) -> bytes:
+    """A filter of FILTER_BITS bits over a long column: as many bytes for any input."""
+    at = keys.select((F.col(column).bitwiseAND(F.lit(FILTER_BITS - 1)) + 1).alias("k"))
     rows = at.groupBy(F.expr("bitmap_bucket_number(k)").alias("g")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(k))").alias("m")).collect()
     out = np.zeros(FILTER_BITS // 8, np.uint8)
     for r in rows:
@@ -325,10 +375,13 @@ def ngram_jaccard_components(docs: DataFrame, scratch: Scratch | None = None) ->
     tried = scratch.save(pairs.distinct(), "tried")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        bits = sc.broadcast(_bitmap(pairs.select(F.explode(F.array("a", "b")).alias("fp"))))
-        whole = scratch.save(texts.mapInArrow(_wanted(bits), "fp long, s binary").dropDuplicates(["fp"]), "sets")
-        out = scratch.save(_linked(pairs, whole), "links")
-        scratch.drop(whole)
+        """The pairs that link. The texts are read again for the sets of documents in a pair alone."""
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(classes, "fp")
+        bits, of_ids = (sc.broadcast(_bitmap(ends, c)) for c in ("fp", "rep"))
+        whole = scratch.save(read.where("doc_id is not null").mapInArrow(_wanted(bits, of_ids), "fp long, n int, f binary, s binary"), "sets")
+        left = scratch.save(_matched(pairs, whole, ["n", "f"]).mapInArrow(_possible, "a long, b long").distinct(), "possible")
+        out = scratch.save(_matched(left, whole, ["s"]).mapInArrow(_overlaps, "a long, b long"), "links")
+        scratch.drop(whole, left)
         return out
 
     links = linked(tried)
@@ -346,7 +399,9 @@ def ngram_jaccard_components(docs: DataFrame, scratch: Scratch | None = None) ->
         last, rounds = some[1] <= LONG * some[0] or not found_more or rounds == ROUNDS, rounds + 1
         if last:
             other = F.explode(F.sequence(F.lit(0), F.col("top")))
-            dealt = rows.withColumn("o", other).select("h", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "n", "fp", "pos", "blk", "comp")
+            before = Window.partitionBy("fp").orderBy("pos")
+            rows = rows.select("*", *(F.coalesce(F.lag("h", k).over(before), F.lit(0)).alias(f"e{k}") for k in range(1, EARLIER + 1)))
+            dealt = rows.withColumn("o", other).select("h", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "n", "fp", "pos", "blk", "comp", *(f"e{k}" for k in range(1, EARLIER + 1)))
             pairs = dealt.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "n", "fp").mapInArrow(_full, "a long, b long")
         else:
             pairs = rows.select("h", "n", "fp", "pos", "comp").repartition("h").sortWithinPartitions("h", "n", "fp").mapInArrow(_sparse, "a long, b long")
@@ -364,9 +419,9 @@ def ngram_jaccard_components(docs: DataFrame, scratch: Scratch | None = None) ->
     return linked.unionAll(alone)
 
 
-def _linked(pairs: DataFrame, whole: DataFrame) -> DataFrame:
-    a, b = whole.withColumnsRenamed({"fp": "a", "s": "x"}), whole.withColumnsRenamed({"fp": "b", "s": "y"})
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(_overlaps, "a long, b long")
+def _matched(pairs: DataFrame, whole: DataFrame, columns: list[str]) -> DataFrame:
+    sides = [whole.select(F.col("fp").alias(k), *(F.col(c).alias(c + k) for c in columns)) for k in "ab"]
+    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", *(c + k for c in columns for k in "ab"))
 
 
 def ngram_jaccard_keep(docs: DataFrame) -> DataFrame:
