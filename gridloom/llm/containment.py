@@ -158,7 +158,7 @@ WITH w AS (
   UNION ALL
   SELECT 1, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') FROM benchmark
 ), s AS (
-  SELECT DISTINCT side, id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')) ELSE [array_to_string(w, ' ')] END) AS g
+  SELECT DISTINCT side, id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) ELSE [array_to_string(w, ' ')] END) AS g
   FROM w WHERE len(w) > 0
 ), q AS (SELECT id, g, count(*) OVER (PARTITION BY id) AS n FROM s WHERE side = 1)
 SELECT d.id AS doc_id, q.id AS item_id, q.n AS n_item, count(*) AS n_shared, count(*) / q.n AS containment

@@ -26,7 +26,7 @@ from .shingles import SPACE, words
 #: ORC writer: stripes of 16 MB, an index entry each 1,000 rows, Bloom filters on the ids.
 OPTIONS = {"orc.stripe.size": str(16 << 20), "orc.row.index.stride": "1000", "orc.create.index": "true", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "compression": "zstd"}
 #: Words whose ids a worker remembers.
-KNOWN = 400_000
+KNOWN = 300_000
 _ROWS = "part int, doc_id long, local_start long, n_tokens long, ids array<int>"
 
 
@@ -132,7 +132,7 @@ def word_tokens(path: str) -> WordTokens:
 def _tokenised(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, total = TaskContext.get().partitionId(), 0
-        for b in steps(batches, "text", 12 << 20):
+        for b in steps(batches, "text", 6 << 20):
             ids, offs = word_tokens(path).ids(b.column(1), end)
             lists = pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, part, np.int32)), b.column(0), pa.array(total + offs[:-1]), pa.array(np.diff(offs)), lists], ["part", "doc_id", "local_start", "n_tokens", "ids"])
