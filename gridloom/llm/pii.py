@@ -360,8 +360,8 @@ def find(df: DataFrame, net: Tagger) -> DataFrame:
 
 def digests(df: DataFrame) -> DataFrame:
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    counts = [F.size(F.filter("base_spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
-    return df.select("doc_id", *counts, F.sha2(joined("base_spans").cast("binary"), 256).alias("base_sha256"), joined("pii_spans").alias("spans"))
+    count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return df.select("doc_id", *map(count, KINDS), F.sha2(joined("base_spans").cast("binary"), 256).alias("base_sha256"), joined("pii_spans").alias("spans"))
 
 
 def _masked(net):
