@@ -352,7 +352,7 @@ def ngram_jaccard_components(docs: DataFrame, scratch: Scratch | None = None) ->
 
     component_id is the smallest doc_id that links reach. A text that is null or has no word has no shingle and links with nothing;
     a text of under five words is one shingle. Equal sets always link. Rows with a null doc_id are returned with a null component and
-    link with nothing. Repeated ids are returned as often as they come. Other columns are not read.
+    link with nothing. Rows are what links, so rows with one id but different texts may be in different components. Other columns are not read.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -410,10 +410,10 @@ def ngram_jaccard_components(docs: DataFrame, scratch: Scratch | None = None) ->
         found_more = last or not found.isEmpty()
         links, tried = links.unionAll(found), tried.unionAll(new)
 
-    reps = classes.select("fp", "rep")
-    edges = links.join(reps.withColumnsRenamed({"fp": "a", "rep": "ra"}), "a").join(reps.withColumnsRenamed({"fp": "b", "rep": "rb"}), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    comps = scratch.save(components(edges, scratch), "comps")
-    ids = classes.join(comps.withColumnsRenamed({"v": "rep", "c": "comp"}), "rep", "left").select("fp", "n", F.coalesce("comp", "rep").alias("component_id"))
+    comps = scratch.save(components(links, scratch), "comps").withColumnsRenamed({"v": "fp", "c": "comp"})
+    named = classes.join(comps, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
+    least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
+    ids = named.join(least, "comp").select("fp", "n", "component_id")
     linked = sets.where("n > 0 and doc_id is not null").join(ids, ["fp", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = sets.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionAll(alone)
