@@ -210,7 +210,7 @@ def fit(texts: list[str], langs: list[str], path: str) -> Model:
         sums[2:] += PSEUDO
         p = sums / sums.sum(axis=0) * scale
         p[1] = UNKNOWN * _SCALE
-    share = np.bincount([place[x] for x in langs], minlength=len(kinds)) + 1.0
+    share = np.bincount(np.array([place[x] for x in langs], np.int64), minlength=len(kinds)) + 1.0
     return Model(path, kinds, p, np.log(share / share.sum()))
 
 

@@ -226,8 +226,8 @@ def tag_row(size: int, spans: list[tuple[str, int, int]]) -> np.ndarray:
     return tags
 
 
-def fit(texts: list[str], spans: list[list[tuple[str, int, int]]], most: int = TRAIN_WINDOWS) -> Tagger:
-    """Trains on windows of the texts that hold a digit or an at sign, half of them with a labelled span where there are as many."""
+def fit(texts: list[str], spans: list[list[tuple[str, int, int]]], most: int = TRAIN_WINDOWS) -> Tagger | None:
+    """Trains on windows of the texts that hold a digit or an at sign, half of them with a labelled span where there are as many. None without any."""
     r = np.random.default_rng(3)
     codes, tags = [], []
     for text, own in zip(texts, spans):
@@ -238,9 +238,9 @@ def fit(texts: list[str], spans: list[list[tuple[str, int, int]]], most: int = T
             row = np.concatenate((tag_row(len(c), own), np.zeros(WINDOW, np.int8)))
             codes.append(cut(c, starts))
             tags.append(row[starts[:, None] + np.arange(WINDOW)])
-    net = Tagger.fresh()
     if not codes:
-        return net
+        return None
+    net = Tagger.fresh()
     codes, tags = np.concatenate(codes), np.concatenate(tags)
     inside = (tags[:, 0] > 0) & (tags[:, 0] % 2 == 0)
     codes, tags = codes[~inside], tags[~inside]  # a window that starts inside a span has no beginning to learn
@@ -302,13 +302,13 @@ def reconcile(base: list[tuple[str, int, int]], added: list[tuple[str, int, int,
     return sorted([*base, *chosen], key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-def spans_of(texts: list[str], net: Tagger) -> list[tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]]:
-    """(base spans, all spans) of each text."""
+def spans_of(texts: list[str], net: Tagger | None) -> list[tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]]:
+    """(base spans, all spans) of each text; without a network they are the same."""
     base = [rule_spans(t) for t in texts]
     added: list[list] = [[] for _ in texts]
     wins, who, at, sizes = [], [], [], {}
     for i, t in enumerate(texts):
-        if "@" in t or _DIGITS.search(t):
+        if net and ("@" in t or _DIGITS.search(t)):
             c = codes_of(t)
             starts = window_starts(c)
             sizes[i] = len(c)
@@ -328,7 +328,7 @@ def spans_of(texts: list[str], net: Tagger) -> list[tuple[list[tuple[str, int, i
     return [(b, reconcile(b, a)) for b, a in zip(base, added)]
 
 
-def train(docs: DataFrame, most: int = TRAIN_DOCS) -> Tagger:
+def train(docs: DataFrame, most: int = TRAIN_DOCS) -> Tagger | None:
     """Trains on what the rules find in texts with a digit or an at sign; at most ``most`` texts come to the driver."""
     rows = sample(docs.select("doc_id", "text").where(F.col("text").rlike("[0-9@]")), most).select("text").collect()
     texts = sorted(r.text for r in rows)
@@ -348,7 +348,7 @@ def _found(net):
 _SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
-def find(df: DataFrame, net: Tagger) -> DataFrame:
+def find(df: DataFrame, net: Tagger | None) -> DataFrame:
     """Adds base_spans and pii_spans (arrays of kind, start, end in code points, by start) to df; columns of these names are replaced.
 
     A null text is empty. Whole texts are read; nothing is shuffled.
@@ -389,7 +389,7 @@ def mask(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join([*out, text[last:]])
 
 
-def masked(df: DataFrame, net: Tagger) -> DataFrame:
+def masked(df: DataFrame, net: Tagger | None) -> DataFrame:
     """df with the personal data of every text replaced, and n_chars, where df has it, counted anew."""
     ship(df.sparkSession)
     out = df.mapInArrow(_masked(df.sparkSession.sparkContext.broadcast(net)), T.StructType(df.schema.fields))
