@@ -16,7 +16,7 @@ _ROOTS: dict[str, str] = {}
 _SHIPPED: set[str] = set()
 
 #: Bytes of text that one numpy step works on; bounds a worker's memory whatever the batch holds.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -41,13 +41,13 @@ EARLIER = 4
 #: Runs of other components that a row looks back on in a sparse round.
 DEPTH = 4
 #: Sparse rounds at most.
-ROUNDS = 4
+ROUNDS = 1
 #: Most frequent shingles whose frequency the column order knows.
 RANKED = 1 << 17
 #: Bits of the filter by which the second reading of the texts finds rows that have a candidate; a false hit only costs.
 FILTER_BITS = 1 << 24
 #: Shingles that are counted together when a task looks for frequent ones.
-COUNTED = 1 << 22
+COUNTED = 1 << 21
 
 _SETS = "kind int, x long, fp long, fp2 long, n long"
 _ROWS = "h long, n int, fp long, pos int"
@@ -337,14 +337,14 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch("a long, b long", [x[0] for x in links], [x[1] for x in links])
 
 
-def _bitmap(keys: DataFrame, column: str) -> bytes:
-    """A filter of FILTER_BITS bits over a long column: as many bytes for any input."""
-    at = keys.select((F.col(column).bitwiseAND(F.lit(FILTER_BITS - 1)) + 1).alias("k"))
-    rows = at.groupBy(F.expr("bitmap_bucket_number(k)").alias("g")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(k))").alias("m")).collect()
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
+def _bitmaps(keys: DataFrame, columns: list[str]) -> list[bytes]:
+    """A filter of FILTER_BITS bits over each long column: as many bytes for any input."""
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), (F.col(c).bitwiseAND(F.lit(FILTER_BITS - 1)) + 1).alias("k")) for i, c in enumerate(columns)))).alias("e")
+    rows = keys.select(each).select("e.*").groupBy("i", F.expr("bitmap_bucket_number(k)").alias("g")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(k))").alias("m")).collect()
+    out = np.zeros((len(columns), FILTER_BITS // 8), np.uint8)
     for r in rows:
-        out[(r.g - 1) * 4096 : r.g * 4096] = np.frombuffer(r.m, np.uint8)
-    return out.tobytes()
+        out[r.i, (r.g - 1) * 4096 : r.g * 4096] = np.frombuffer(r.m, np.uint8)
+    return [x.tobytes() for x in out]
 
 
 def ngram_jaccard_components(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -377,7 +377,7 @@ def ngram_jaccard_components(docs: DataFrame, scratch: Scratch | None = None) ->
     def linked(pairs: DataFrame) -> DataFrame:
         """The pairs that link. The texts are read again for the sets of documents in a pair alone."""
         ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(classes, "fp")
-        bits, of_ids = (sc.broadcast(_bitmap(ends, c)) for c in ("fp", "rep"))
+        bits, of_ids = map(sc.broadcast, _bitmaps(ends, ["fp", "rep"]))
         whole = scratch.save(read.where("doc_id is not null").mapInArrow(_wanted(bits, of_ids), "fp long, n int, f binary, s binary"), "sets")
         left = scratch.save(_matched(pairs, whole, ["n", "f"]).mapInArrow(_possible, "a long, b long").distinct(), "possible")
         out = scratch.save(_matched(left, whole, ["s"]).mapInArrow(_overlaps, "a long, b long"), "links")
