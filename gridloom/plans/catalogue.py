@@ -1,7 +1,459 @@
-"""Named queries over the star-schema tables."""
+"""Named queries over the star-schema tables, each with the SQL that must give the same rows.
+
+``events`` is a sampled axis (event_id is dense), ``embeddings`` a second one whose payload is an 8 x 8 field, ``orders`` a co-registered
+variable with chunks of its own. Every query covers its whole table.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import arrays, metrics
+from ..operators import cache, ordering, transforms, views
+from ..operators.views import View
+from ..sources import ztensor
+from ..sources.shared import fresh_folder
+from ..streaming.windows import windowed
+from .geometry import Geometry, valid_anchors, working_set
+from .split import Manifest, split_by_chunk
+
 FLAGSHIP = "gather_forecast"
-QUERIES: dict = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+#: Samples a chunk, chunks a block, rows a batch, steps ahead, and seed and epoch of shuffled orders.
+SPC, BLOCK, BATCH, AHEAD, SEED, EPOCH = 100, 4, 32, 24, 0, 3
+FRACTIONS = (0.7, 0.15, 0.15)
+SIDE = 8
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def axis(spark: SparkSession, sf_dir: str, name: str = "events") -> tuple[DataFrame, int]:
+    """A table and its number of samples, which parquet footers hold."""
+    df = read(spark, sf_dir, name)
+    return df, df.count()
+
+
+def manifest(n: int, **options) -> Manifest:
+    return split_by_chunk(n, SPC, FRACTIONS, **options)
+
+
+def train_order(spark: SparkSession, n: int, offsets=(0,)) -> DataFrame:
+    return ordering.sequential_order(manifest(n).chunks(spark, "train").select("chunk_id"), SPC, n, block_chunks=BLOCK, anchors=valid_anchors(n, list(offsets)))
+
+
+def fields(df: DataFrame, column: str = "embedding") -> DataFrame:
+    return df.select("vec_id", F.posexplode(column).alias("pos", "val"))
+
+
+#: The split as SQL: c has the counts, m a row a chunk.
+M = f"""p AS (SELECT count(*) n, CAST(ceil(count(*) / {SPC}.0) AS BIGINT) k FROM events),
+c AS (SELECT n, k, CAST(round_even({FRACTIONS[0]}::DOUBLE * k, 0) AS BIGINT) a, CAST(round_even({FRACTIONS[1]}::DOUBLE * k, 0) AS BIGINT) b FROM p),
+m AS (SELECT CASE WHEN i < a THEN 'train' WHEN i < a + b THEN 'val' ELSE 'test' END AS split, i AS chunk_id, n FROM (SELECT unnest(range(k)) i, a, b, n FROM c))"""
+#: The train split's anchors in order, for offsets 0 and AHEAD: block, row in block.
+T = f"""{M}, o AS (SELECT e.event_id anchor, chunk_id, chunk_id // {BLOCK} block_id FROM events e JOIN m ON e.event_id // {SPC} = m.chunk_id WHERE split = 'train' AND e.event_id + {AHEAD} < n),
+r AS (SELECT *, row_number() OVER (PARTITION BY block_id ORDER BY anchor) - 1 r FROM o)"""
+#: All chunks permuted, their anchors with blocks and rows.
+P = f"""ch AS (SELECT DISTINCT event_id // {SPC} chunk_id FROM events),
+pm AS (SELECT chunk_id, row_number() OVER (ORDER BY md5(concat('{SEED}|{EPOCH}|', CAST(chunk_id AS VARCHAR))), chunk_id) - 1 pos FROM ch),
+w AS (SELECT e.event_id anchor, chunk_id, pos // {BLOCK} block_id FROM events e JOIN pm ON e.event_id // {SPC} = pm.chunk_id),
+d AS (SELECT *, row_number() OVER (PARTITION BY block_id ORDER BY md5(concat('{SEED}|{EPOCH}|s|', CAST(anchor AS VARCHAR))), anchor) - 1 r FROM w),
+z AS (SELECT block_id, count(*) m FROM w GROUP BY block_id),
+f AS (SELECT block_id, coalesce(sum(m) OVER (ORDER BY block_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) s FROM z),
+dr AS (SELECT CAST(f.s + d.r AS BIGINT) draw_pos, d.block_id, d.r, d.chunk_id, d.anchor FROM d JOIN f USING (block_id))"""
+#: Embedding elements.
+E = "e AS (SELECT vec_id, CAST(i AS INTEGER) pos, embedding[i + 1] val FROM (SELECT vec_id, embedding, unnest(range(64)) i FROM embeddings))"
+
+
+@query(f"WITH {M} SELECT split, chunk_id FROM m")
+def split_manifest(spark, d):
+    return manifest(axis(spark, d)[1]).chunks(spark)
+
+
+@query(f"WITH {M} SELECT split, chunk_id, event_id AS sample_index FROM m JOIN events ON event_id // {SPC} = chunk_id")
+def split_sample_indices(spark, d):
+    return manifest(axis(spark, d)[1]).sample_indices(spark)
+
+
+@query(f"WITH {M}, q AS (SELECT chunk_id, row_number() OVER (ORDER BY md5(concat('7|', CAST(chunk_id AS VARCHAR))), chunk_id) - 1 q FROM m) SELECT CASE WHEN q < a THEN 'train' WHEN q < a + b THEN 'val' ELSE 'test' END AS split, chunk_id FROM q, c")
+def split_random(spark, d):
+    return manifest(axis(spark, d)[1], contiguous=False, seed=7).chunks(spark)
+
+
+@query(f"""WITH p AS (SELECT count(*) n FROM events), s AS (SELECT (n // 8) // {SPC} lo, CAST(ceil((n // 2 + 7) / {SPC}.0) AS BIGINT) hi FROM p),
+c AS (SELECT lo, hi - lo k, CAST(round_even(0.7::DOUBLE * (hi - lo), 0) AS BIGINT) a, CAST(round_even(0.15::DOUBLE * (hi - lo), 0) AS BIGINT) b FROM s)
+SELECT CASE WHEN i < a THEN 'train' WHEN i < a + b THEN 'val' ELSE 'test' END AS split, lo + i AS chunk_id FROM (SELECT unnest(range(k)) i, lo, a, b FROM c)""")
+def split_sample_range(spark, d):
+    n = axis(spark, d)[1]
+    return manifest(n, sample_range=(n // 8, n // 2 + 7)).chunks(spark)
+
+
+@query(f"SELECT DISTINCT event_id // {SPC} AS chunk_id FROM events")
+def split_all_union(spark, d):
+    m = manifest(axis(spark, d)[1])
+    out = m.chunks(spark, "train")
+    for s in ("val", "test"):
+        out = out.unionByName(m.chunks(spark, s))
+    return out.select("chunk_id").distinct()
+
+
+@query(f"""SELECT name, n AS n_samples, spc AS sample_chunk_size, CAST(ceil(n / CAST(spc AS DOUBLE)) AS BIGINT) AS n_chunks, n - (CAST(ceil(n / CAST(spc AS DOUBLE)) AS BIGINT) - 1) * spc AS tail
+FROM (SELECT 'events' AS name, count(*) n, CAST({SPC} AS BIGINT) spc FROM events UNION ALL SELECT 'embeddings', count(*), 64 FROM embeddings UNION ALL SELECT 'orders', count(*), 1000 FROM orders)""")
+def chunk_geometry(spark, d):
+    rows = []
+    for name, spc in (("events", SPC), ("embeddings", 64), ("orders", 1000)):
+        g = Geometry(name, (axis(spark, d, name)[1],), (spc,))
+        rows.append((name, g.n_samples, spc, g.n_chunks, len(g.samples_in_chunk(g.n_chunks - 1))))
+    return spark.createDataFrame(rows, "name string, n_samples bigint, sample_chunk_size bigint, n_chunks bigint, tail bigint")
+
+
+@query(f"SELECT event_id // {SPC} AS chunk_id, min(event_id) AS start, max(event_id) + 1 AS stop FROM events GROUP BY 1")
+def samples_in_chunk(spark, d):
+    n = axis(spark, d)[1]
+    return spark.range(-(-n // SPC)).select(F.col("id").alias("chunk_id"), (F.col("id") * SPC).alias("start"), F.least((F.col("id") + 1) * SPC, F.lit(n)).alias("stop"))
+
+
+@query(f"SELECT CAST(3 AS BIGINT) AS lo, count(*) - {AHEAD} AS hi FROM events")
+def valid_anchor_range(spark, d):
+    return spark.createDataFrame([valid_anchors(axis(spark, d)[1], [-3, 0, AHEAD])], "lo bigint, hi bigint")
+
+
+@query(f"SELECT event_id AS anchor FROM events, (SELECT count(*) n FROM events) WHERE event_id >= 3 AND event_id + {AHEAD} < n")
+def edge_anchor_filter(spark, d):
+    df, n = axis(spark, d)
+    lo, hi = valid_anchors(n, [-3, 0, AHEAD])
+    return df.where((F.col("event_id") >= lo) & (F.col("event_id") < hi)).select(F.col("event_id").alias("anchor"))
+
+
+@query(f"SELECT event_id AS draw_pos, event_id // {SPC} AS chunk_id, event_id % {SPC} AS within, event_id AS anchor FROM events")
+def sequential_order(spark, d):
+    n = axis(spark, d)[1]
+    return ordering.sequential_order(manifest(n).chunks(spark, "all"), SPC, n, block_chunks=BLOCK).select("draw_pos", "chunk_id", "within", "anchor")
+
+
+@query(f"WITH {P} SELECT chunk_id, pos FROM pm")
+def chunk_permutation(spark, d):
+    return ordering.chunk_permutation(manifest(axis(spark, d)[1]).chunks(spark), SEED, EPOCH)
+
+
+def _shuffled(spark, d):
+    n = axis(spark, d)[1]
+    return ordering.block_shuffled_order(manifest(n).chunks(spark), SPC, n, block_chunks=BLOCK, seed=SEED, epoch=EPOCH)
+
+
+@query(f"WITH {P} SELECT draw_pos, block_id, chunk_id, anchor FROM dr")
+def block_shuffled_order(spark, d):
+    return _shuffled(spark, d).select("draw_pos", "block_id", "chunk_id", "anchor")
+
+
+@query(f"WITH {P}, g AS (SELECT abs(lead(anchor) OVER (ORDER BY draw_pos) - anchor) g FROM dr) SELECT round(least(CAST(sum(g) AS DOUBLE) / (count(*) - 1) / (count(*) / 3.0::DOUBLE), 1.0), 9) AS quality FROM g")
+def shuffle_quality(spark, d):
+    return ordering.shuffle_quality(_shuffled(spark, d)).select(F.round("quality", 9).alias("quality"))
+
+
+@query(f"WITH {P} SELECT block_id, count(*) AS n_rows, count(DISTINCT chunk_id) AS n_chunks, min(draw_pos) AS first_pos, max(draw_pos) AS last_pos FROM dr GROUP BY block_id")
+def block_partition(spark, d):
+    return _shuffled(spark, d).groupBy("block_id").agg(F.count("*").alias("n_rows"), F.countDistinct("chunk_id").alias("n_chunks"), F.min("draw_pos").alias("first_pos"), F.max("draw_pos").alias("last_pos"))
+
+
+@query(f"WITH {P} SELECT block_id, r // {BATCH} AS batch_in_block, r % {BATCH} AS row_in_batch, anchor FROM dr")
+def batch_assignment(spark, d):
+    return ordering.batches(_shuffled(spark, d), BATCH).select("block_id", "batch_in_block", "row_in_batch", "anchor")
+
+
+@query(f"""WITH {P}, b AS (SELECT block_id, r // {BATCH} bi, count(*) n FROM dr GROUP BY 1, 2) SELECT row_number() OVER (ORDER BY block_id, bi) - 1 AS batch_id, n FROM b""")
+def batch_sizes(spark, d):
+    return ordering.numbered(ordering.batches(_shuffled(spark, d), BATCH), BATCH).groupBy("batch_id").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {P} SELECT draw_pos, anchor FROM dr WHERE block_id = 0 AND r // {BATCH} < 2")
+def max_batches(spark, d):
+    """The first batches of an order, by number, not by whichever rows arrive first."""
+    rows = ordering.numbered(ordering.batches(_shuffled(spark, d), BATCH), BATCH)
+    return rows.where("batch_id < 2").select("draw_pos", "anchor")
+
+
+@query(f"""WITH {M}, t AS (SELECT chunk_id FROM m WHERE split = 'train' UNION ALL SELECT chunk_id FROM m WHERE split = 'train'), i AS (SELECT unnest(range(4)) i)
+SELECT DISTINCT 'value' AS path, chunk_id AS chunk_index, i // 2 AS inner_y, i % 2 AS inner_x FROM t, i""")
+def read_plan_dedup(spark, d):
+    """Two labels of one path, tiled 2 x 2: each stored chunk once."""
+    n = axis(spark, d)[1]
+    labels = {"x": {"path": "value", "spc": SPC, "offset": 0}, "again": {"path": "value", "spc": SPC, "offset": 0}}
+    plan = views.read_plan(manifest(n).chunks(spark, "train"), labels, SPC, n).select("path", "chunk_index")
+    g = Geometry("value", (n, 8, 8), (SPC, 4, 4))
+    inner = F.explode(F.array(*(F.struct(F.lit(y).cast("long").alias("inner_y"), F.lit(x).cast("long").alias("inner_x")) for y, x in g.inner_coords()))).alias("i")
+    return plan.select("path", "chunk_index", inner).select("path", "chunk_index", "i.inner_y", "i.inner_x").distinct()
+
+
+@query(f"""WITH {M} SELECT DISTINCT 'value' AS path, x // {SPC} AS chunk_index FROM (SELECT e.event_id + o x, n FROM events e JOIN m ON e.event_id // {SPC} = m.chunk_id, (SELECT unnest([-3, 0, {AHEAD}]) o) WHERE split = 'train') WHERE x >= 0 AND x < n""")
+def read_plan_windowed(spark, d):
+    n = axis(spark, d)[1]
+    labels = {str(o): {"path": "value", "spc": SPC, "offset": o} for o in (-3, 0, AHEAD)}
+    return views.read_plan(manifest(n).chunks(spark, "train"), labels, SPC, n).select("path", "chunk_index").distinct()
+
+
+@query(f"""SELECT DISTINCT e.event_id // {SPC} AS chunk_id, (e.event_id + {AHEAD}) // 32 AS chunk_index FROM events e, (SELECT count(*) n FROM events) WHERE e.event_id + {AHEAD} < n""")
+def uneven_chunk_map(spark, d):
+    n = axis(spark, d)[1]
+    plan = views.read_plan(manifest(n).chunks(spark, "all"), {"y": {"path": "y", "spc": 32, "offset": AHEAD}}, SPC, n)
+    return plan.select("chunk_id", "chunk_index")
+
+
+@query(f"""WITH {P} SELECT (anchor + o) // {SPC} AS chunk_index, max(block_id) AS last_block FROM dr, (SELECT unnest([0, {AHEAD}]) o), (SELECT count(*) n FROM events) WHERE anchor + o < n GROUP BY 1""")
+def last_use_block(spark, d):
+    n = axis(spark, d)[1]
+    blocks = ordering.chunk_permutation(manifest(n).chunks(spark), SEED, EPOCH).select("chunk_id", F.expr(f"pos div {BLOCK}").alias("block_id"))
+    labels = {str(o): {"path": "value", "spc": SPC, "offset": o} for o in (0, AHEAD)}
+    return views.read_plan(blocks, labels, SPC, n).join(blocks, "chunk_id").groupBy("chunk_index").agg(F.max("block_id").alias("last_block"))
+
+
+@query("SELECT e.event_id AS anchor, e.value AS x, o.o_totalprice AS y FROM events e JOIN orders o ON o.o_orderkey = e.event_id")
+def gather_co_anchor(spark, d):
+    df, n = axis(spark, d)
+    return views.gather(df.select(F.col("event_id").alias("anchor")), {"x": View(df, "event_id", "value"), "y": View(read(spark, d, "orders"), "o_orderkey", "o_totalprice")})
+
+
+@query(f"WITH {T} SELECT block_id, r // {BATCH} AS batch_in_block, anchor, x.value AS x, y.value AS y FROM r JOIN events x ON x.event_id = anchor JOIN events y ON y.event_id = anchor + {AHEAD}")
+def gather_forecast(spark, d):
+    """For each anchor of the train split its value and the one AHEAD steps later, in batches."""
+    df, n = axis(spark, d)
+    x = View(df, "event_id", "value")
+    rows = ordering.batches(train_order(spark, n, (0, AHEAD)), BATCH)
+    return views.gather(rows, {"x": x, "y": x.shift(AHEAD)}).select("block_id", "batch_in_block", "anchor", "x", "y")
+
+
+@query(f"""WITH {P} SELECT d.draw_pos, d.anchor, x.value AS x, y.value AS y FROM dr d JOIN events x ON x.event_id = d.anchor JOIN events y ON y.event_id = d.anchor - 1 WHERE d.anchor >= 1 AND d.block_id < 3""")
+def gather_shuffled_blocks(spark, d):
+    df = axis(spark, d)[0]
+    x = View(df, "event_id", "value")
+    rows = _shuffled(spark, d).where("block_id < 3").select("draw_pos", "anchor")
+    return views.gather(rows, {"x": x, "y": x.shift(-1)}).select("draw_pos", "anchor", "x", "y")
+
+
+@query("SELECT a.event_id AS anchor, CAST(s AS INTEGER) AS step, b.value AS value FROM events a, (SELECT unnest(range(3)) s) JOIN events b ON b.event_id = a.event_id + s - 2 WHERE a.event_id >= 2")
+def gather_history_stack(spark, d):
+    df, n = axis(spark, d)
+    x = View(df, "event_id", "value")
+    labels = {f"h{k}": x.shift(k) for k in (-2, -1, 0)}
+    rows = views.gather(df.select(F.col("event_id").alias("anchor")), labels)
+    return views.stacked(rows, list(labels)).select("anchor", F.posexplode("stack").alias("step", "value"))
+
+
+@query(f"WITH {T} SELECT anchor, label, anchor + o AS read_index FROM r, (SELECT 'x' AS label, 0 AS o UNION ALL SELECT 'y', {AHEAD})")
+def batch_read_indices(spark, d):
+    df, n = axis(spark, d)
+    x = View(df, "event_id", "value")
+    return views.read_indices(train_order(spark, n, (0, AHEAD)).select("anchor"), {"x": x, "y": x.shift(AHEAD)})
+
+
+@query(f"WITH {E} SELECT vec_id, pos, CAST(val::DOUBLE - 273.15 AS FLOAT) AS val FROM e")
+def kelvin_to_celsius(spark, d):
+    df = read(spark, d, "embeddings")
+    return fields(df.select("vec_id", arrays.to_celsius(F.col("embedding")).alias("embedding")))
+
+
+@query(f"""WITH {M}, v AS (SELECT value FROM events JOIN m ON event_id // {SPC} = chunk_id WHERE split = 'train')
+SELECT 'value' AS variable, round(avg(value), 9) AS mean, round(stddev_pop(value), 9) AS std FROM v UNION ALL SELECT 'embedding', round(avg(x), 9), round(stddev_pop(x), 9) FROM (SELECT unnest(embedding)::DOUBLE x FROM embeddings)""")
+def standard_scaler_fit(spark, d):
+    df, n = axis(spark, d)
+    m = manifest(n)
+    last = m.counts[0] * SPC
+    s = metrics.StandardScaler.fit(df.where(F.col("event_id") < last), ["value"])
+    e = metrics.StandardScaler.fit(read(spark, d, "embeddings"), ["embedding"])
+    rows = [("value", s.mean["value"], s.std["value"]), ("embedding", e.mean["embedding"], e.std["embedding"])]
+    return spark.createDataFrame(rows, "variable string, mean double, std double").select("variable", F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"))
+
+
+@query("SELECT event_id, round((value - m) / (s + 1e-8), 6) AS z FROM events, (SELECT avg(value) m, stddev_pop(value) s FROM events)")
+def standard_scaler_apply(spark, d):
+    df = axis(spark, d)[0]
+    return metrics.StandardScaler.fit(df, ["value"]).apply(df.select("event_id", "value")).select("event_id", F.round("value", 6).alias("z"))
+
+
+@query(f"WITH {E} SELECT pos, round(avg(val::DOUBLE), 9) AS mean, round(stddev_pop(val::DOUBLE), 9) AS std FROM e GROUP BY pos")
+def scaler_per_pixel(spark, d):
+    v = F.col("val").cast("double")
+    return fields(read(spark, d, "embeddings")).groupBy("pos").agg(F.round(F.avg(v), 9).alias("mean"), F.round(F.stddev_pop(v), 9).alias("std"))
+
+
+@query(f"WITH {E} SELECT vec_id, CAST((pos // 8) // 2 * 4 + (pos % 8) // 2 AS INTEGER) AS pos, round(avg(val::DOUBLE), 6) AS val FROM e GROUP BY 1, 2")
+def coarsen(spark, d):
+    df = read(spark, d, "embeddings").select("vec_id", arrays.coarsened(F.col("embedding"), SIDE, SIDE, 2).alias("embedding"))
+    return fields(df).withColumn("val", F.round("val", 6))
+
+
+@query(f"WITH {E} SELECT vec_id, CAST(pos // 8 AS INTEGER) AS pos, round(avg(val::DOUBLE), 6) AS val FROM e GROUP BY 1, 2")
+def mean_last_axis(spark, d):
+    df = read(spark, d, "embeddings").select("vec_id", arrays.row_means(F.col("embedding"), SIDE, SIDE).alias("embedding"))
+    return fields(df).withColumn("val", F.round("val", 6))
+
+
+@query(f"""WITH {E}, a AS (SELECT vec_id, median(val::DOUBLE) med FROM e GROUP BY vec_id), b AS (SELECT vec_id, median(abs(val::DOUBLE - med)) mad FROM e JOIN a USING (vec_id) GROUP BY vec_id)
+SELECT vec_id, pos, round(greatest(least((val::DOUBLE - med) / (mad * 1.4826::DOUBLE + 1e-6), 5.0), -5.0), 6) AS scaled FROM e JOIN a USING (vec_id) JOIN b USING (vec_id)""")
+def robust_normalize(spark, d):
+    return metrics.robust_scaled(fields(read(spark, d, "embeddings")), "vec_id", "val").select("vec_id", "pos", F.round("scaled", 6).alias("scaled"))
+
+
+PAIR = "q AS (SELECT a.vec_id, a.pos, a.val x, b.val y FROM e a JOIN e b ON b.vec_id = a.vec_id + 1 AND b.pos = a.pos)"
+
+
+def _pairs(spark, d) -> DataFrame:
+    df = read(spark, d, "embeddings")
+    u = View(df, "vec_id", "embedding")
+    return views.gather(df.select(F.col("vec_id").alias("anchor")), {"u": u, "v": u.shift(1)})
+
+
+@query(f"WITH {E}, {PAIR} SELECT vec_id, pos, round(sqrt(x::DOUBLE * x::DOUBLE + y::DOUBLE * y::DOUBLE), 6) AS val FROM q")
+def windspeed(spark, d):
+    rows = _pairs(spark, d).select(F.col("anchor").alias("vec_id"), arrays.wind_speed(F.col("u"), F.col("v")).alias("embedding"))
+    return fields(rows).withColumn("val", F.round("val", 6))
+
+
+@query(f"WITH {E} SELECT vec_id, pos, CAST(CASE WHEN val > 0 THEN 1 ELSE 0 END AS FLOAT) AS val FROM e")
+def binarize_mask(spark, d):
+    df = read(spark, d, "embeddings")
+    return fields(df.select("vec_id", arrays.binarise(F.col("embedding")).alias("embedding")))
+
+
+@query(f"SELECT round(sqrt(avg(pow(b.value - a.value, 2))), 6) AS rmse, count(*) AS n FROM events a JOIN events b ON b.event_id = a.event_id + {AHEAD}")
+def rmse_persistence(spark, d):
+    df = axis(spark, d)[0]
+    x = View(df, "event_id", "value")
+    rows = views.gather(df.select(F.col("event_id").alias("anchor")), {"x": x, "y": x.shift(AHEAD)})
+    return rows.agg(F.round(metrics.rmse(F.col("x"), F.col("y")), 6).alias("rmse"), F.count("*").alias("n"))
+
+
+@query(f"WITH {E}, {PAIR}, b AS (SELECT vec_id // {BATCH} g, avg(pow(x::DOUBLE - y::DOUBLE, 2)) mse FROM q GROUP BY 1) SELECT round(avg(10 * log10(100.0 / mse)), 6) AS psnr FROM b")
+def psnr(spark, d):
+    rows = _pairs(spark, d).select(F.expr(f"anchor div {BATCH}").alias("batch"), F.explode(F.arrays_zip("u", "v")).alias("e"))
+    mse = rows.groupBy("batch").agg(F.avg(F.pow(F.col("e.u").cast("double") - F.col("e.v").cast("double"), F.lit(2.0))).alias("mse"))
+    return mse.agg(F.round(F.avg(metrics.psnr(F.col("mse"))), 6).alias("psnr"))
+
+
+@query(f"WITH {E}, {PAIR} SELECT round(sum(CASE WHEN x > 0 AND y > 0 THEN 1.0 ELSE 0 END)::DOUBLE / sum(CASE WHEN x > 0 OR y > 0 THEN 1.0 ELSE 0 END)::DOUBLE, 9) AS iou FROM q")
+def iou(spark, d):
+    rows = _pairs(spark, d).select(F.explode(F.arrays_zip("u", "v")).alias("e"))
+    return rows.agg(F.round(metrics.iou(F.col("e.u") > 0, F.col("e.v") > 0), 9).alias("iou"))
+
+
+@query(f"""WITH {E}, n AS (SELECT vec_id, min(val::DOUBLE) lo, max(val::DOUBLE) hi FROM e GROUP BY vec_id),
+h AS (SELECT vec_id, least(CAST(floor((val::DOUBLE - lo) / ((hi - lo) / 256)) AS INTEGER), 255) bin, lo, hi, count(*)::DOUBLE w FROM e JOIN n USING (vec_id) GROUP BY ALL),
+k AS (SELECT *, lo + (bin + 0.5::DOUBLE) * ((hi - lo) / 256) c FROM h),
+s AS (SELECT *, sum(w) OVER r wf, sum(w) OVER a nn, sum(w * c) OVER r cs, sum(w * c) OVER a al FROM k WINDOW r AS (PARTITION BY vec_id ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY vec_id)),
+g AS (SELECT *, round(wf * (nn - wf) * pow(cs / greatest(wf, 1) - (al - cs) / greatest(nn - wf, 1), 2), 9) v FROM s)
+SELECT vec_id, round(c, 6) AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, bin) q FROM g) WHERE q = 1""")
+def otsu_threshold(spark, d):
+    return metrics.otsu(fields(read(spark, d, "embeddings")), "vec_id", "val").select("vec_id", F.round("threshold", 6).alias("threshold"))
+
+
+@query(f"""WITH {M} SELECT DISTINCT (e.event_id + o) // {SPC} AS chunk_index, (e.event_id + o) // {SPC} % 3 <> 0 AS hit FROM events e JOIN m ON e.event_id // {SPC} = m.chunk_id, (SELECT unnest([0, {AHEAD}]) o) WHERE split = 'train' AND e.event_id + o < n""")
+def cache_hit_miss(spark, d):
+    n = axis(spark, d)[1]
+    labels = {str(o): {"path": "value", "spc": SPC, "offset": o} for o in (0, AHEAD)}
+    plan = views.read_plan(manifest(n).chunks(spark, "train"), labels, SPC, n).select("chunk_index").distinct()
+    stored = manifest(n).chunks(spark).where("chunk_id % 3 <> 0").select(F.col("chunk_id").alias("chunk_index"))
+    return cache.coverage(plan, stored, ["chunk_index"])
+
+
+@query(f"WITH {M} SELECT greatest(2 * {BLOCK} * 3 * 2 * {SPC} * 8, a * 2 * {SPC} * 8) AS bytes FROM c")
+def residency_estimate(spark, d):
+    n = axis(spark, d)[1]
+    g = Geometry("value", (n,), (SPC,), "<f8")
+    need = working_set([g, g.shift(AHEAD)], BLOCK, manifest(n).counts[0], SPC, True)
+    return spark.createDataFrame([(need,)], "bytes bigint")
+
+
+@query(f"SELECT event_id // {SPC} AS chunk_id, sum(CASE WHEN event_id // {SPC} % 7 = 3 THEN 1 ELSE 0 END)::BIGINT AS n_nan, round(sum(CASE WHEN event_id // {SPC} % 7 = 3 THEN 0 ELSE value END), 6) AS total FROM events GROUP BY 1")
+def bad_tile_fill(spark, d):
+    """Chunks that cannot be decoded are NaN; the others stand."""
+    chunk = F.expr(f"event_id div {SPC}")
+    rows = axis(spark, d)[0].select(chunk.alias("chunk_id"), F.when(chunk % 7 != 3, F.col("value")).otherwise(float("nan")).alias("v"))
+    return rows.groupBy("chunk_id").agg(F.sum(F.isnan("v").cast("long")).alias("n_nan"), F.round(F.sum(F.when(F.isnan("v"), 0.0).otherwise(F.col("v"))), 6).alias("total"))
+
+
+@query("SELECT vec_id, CAST(len(list_filter(embedding, lambda x: isnan(x) OR isinf(x))) AS INTEGER) AS bad FROM embeddings")
+def finite_check(spark, d):
+    return read(spark, d, "embeddings").select("vec_id", arrays.not_finite(F.col("embedding")).alias("bad"))
+
+
+@query("SELECT l_returnflag AS engine, median(l_quantity) AS median, quantile_cont(l_quantity, 0.75) - quantile_cont(l_quantity, 0.25) AS iqr FROM lineitem GROUP BY 1")
+def report_median_iqr(spark, d):
+    return metrics.median_iqr(read(spark, d, "lineitem").withColumnRenamed("l_returnflag", "engine"), ["engine"], "l_quantity")
+
+
+@query("SELECT engine, max(m) AS best FROM (SELECT l_returnflag engine, l_linenumber, median(l_extendedprice) m FROM lineitem GROUP BY 1, 2) GROUP BY 1")
+def report_best_tuning(spark, d):
+    return metrics.best_of_medians(read(spark, d, "lineitem").withColumnRenamed("l_returnflag", "engine"), ["l_linenumber"], ["engine"], "l_extendedprice")
+
+
+@query("SELECT engine, round(coalesce(avg(CASE WHEN e > 0 THEN l_quantity END), avg(l_quantity)), 6) AS steady FROM (SELECT l_returnflag engine, l_linenumber - 1 e, l_quantity FROM lineitem) GROUP BY 1")
+def steady_mean(spark, d):
+    rows = read(spark, d, "lineitem").select(F.col("l_returnflag").alias("engine"), (F.col("l_linenumber") - 1).alias("epoch"), "l_quantity")
+    return metrics.steady_mean(rows, ["engine"], "epoch", "l_quantity").withColumn("steady", F.round("steady", 6))
+
+
+@query("""SELECT g.r_name AS region, g.pct FROM (SELECT r.r_name, round(100 * n.total / m.top, 6) pct FROM region r LEFT JOIN (SELECT n_regionkey, sum(s_acctbal) total FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1) n ON n.n_regionkey = r.r_regionkey,
+(SELECT max(total) top FROM (SELECT n_regionkey, sum(s_acctbal) total FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1)) m) g""")
+def report_percent_of_ceiling(spark, d):
+    """A left join of group totals with their ceiling, as reports do."""
+    totals = read(spark, d, "nation").join(read(spark, d, "supplier"), F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_regionkey").agg(F.sum("s_acctbal").alias("total"))
+    top = totals.agg(F.max("total").alias("top")).first().top
+    rows = read(spark, d, "region").join(totals, F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    return rows.select(F.col("r_name").alias("region"), F.round(F.col("total") * 100 / top, 6).alias("pct"))
+
+
+@query("SELECT event_type, CAST(floor(event_id / 1000) AS BIGINT) AS part, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
+def event_totals(spark, d):
+    rows = axis(spark, d)[0].select("event_type", F.expr("event_id div 1000").alias("part"), "value")
+    return rows.groupBy("event_type", "part").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
+
+
+@query("SELECT event_type, count(*) AS n_windows, sum(n)::BIGINT AS n FROM (SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) w, count(*) n FROM events GROUP BY 1, 2) GROUP BY 1")
+def event_windows(spark, d):
+    return windowed(axis(spark, d)[0]).groupBy("event_type").agg(F.count("*").alias("n_windows"), F.sum("n").alias("n"))
+
+
+@query()
+def random_noise_pair(spark, d):
+    """Seeded noise by sample and place; no SQL engine shares the hash."""
+    rows = read(spark, d, "embeddings").select(F.col("vec_id").alias("anchor"), "embedding")
+    return transforms.batch_noise(rows, "embedding", 0.1, SEED, EPOCH)
+
+
+@query()
+def random_crop(spark, d):
+    rows = read(spark, d, "embeddings")
+    top, left = (arrays.random_corner(F.col("vec_id"), SEED, EPOCH, SIDE - 4, a) for a in "yx")
+    return rows.select("vec_id", arrays.crop(F.col("embedding"), SIDE, SIDE, top, left, 4, 4).alias("crop"))
+
+
+@query(f"WITH {E} SELECT vec_id, CAST((pos // 8 - 2) * 4 + pos % 8 - 2 AS INTEGER) AS pos, val FROM e WHERE pos // 8 BETWEEN 2 AND 5 AND pos % 8 BETWEEN 2 AND 5")
+def center_crop(spark, d):
+    df = read(spark, d, "embeddings")
+    return fields(df.select("vec_id", arrays.crop(F.col("embedding"), SIDE, SIDE, F.lit(2), F.lit(2), 4, 4).alias("embedding")))
+
+
+@query()
+def ztensor_scan(spark, d):
+    """A ragged tiled array with an absent tile, written and read back by tiles."""
+    url = fresh_folder(spark, "ztensor")
+    values = np.arange(5 * 9 * 7, dtype="f4").reshape(5, 9, 7)
+    ztensor.write_array(url, "t2m", values, (2, 4, 4), codec="zstd", fill_value=-1, skip=frozenset({(1, 0, 1)}))
+    return ztensor.read_samples(spark, url)["t2m"].select("sample_index", F.posexplode("value").alias("pos", "val"))
