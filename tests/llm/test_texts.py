@@ -10,7 +10,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 
-from gridloom.llm import containment, html_text, language, ngram_join, pii, piece_codec, quality, token_orc
+from gridloom.llm import components, containment, html_text, language, ngram_join, pii, piece_codec, quality, token_orc
 from gridloom.llm.common import Scratch
 
 SF = "/root/testdata/sf0.001"
@@ -66,11 +66,12 @@ def test_ngram_join_hard_rows(spark):
     assert ngram_join.ngram_jaccard_components(frame(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("block, long", [(4096, 64), (3, 1 << 40), (2, 0)])
-def test_ngram_join_chains(spark, monkeypatch, block, long):
+@pytest.mark.parametrize("block, long, few", [(4096, 64, 0), (3, 1 << 40, 1 << 20), (2, 0, 1 << 20)])
+def test_ngram_join_chains(spark, monkeypatch, block, long, few):
     """Chains of near copies, in which neighbours link and distant ones do not; with small blocks too."""
     monkeypatch.setattr(ngram_join, "BLOCK", block)
     monkeypatch.setattr(ngram_join, "LONG", long)
+    monkeypatch.setattr(components, "FEW", few)
     r = np.random.default_rng(1)
     rows, k = [], 0
     for g in range(6):
