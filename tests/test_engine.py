@@ -127,7 +127,7 @@ def test_scaler_and_metrics(spark, tmp_path):
     s.save(spark, str(tmp_path / "s"))
     t = StandardScaler.load(spark, str(tmp_path / "s"))
     assert (t.mean, t.std) == (s.mean, s.std)
-    assert abs(values(t.apply(df)).mean()) < 1e-5
+    assert abs(values(t.apply(df), (63,)).mean()) < 1e-5
     pairs = spark.createDataFrame([(1.0, 1.0, True, True), (3.0, 1.0, True, False)], "p double, t double, a boolean, b boolean")
     r = pairs.agg(metrics.rmse(F.col("p"), F.col("t")), metrics.iou(F.col("a"), F.col("b")), metrics.iou(F.lit(False), F.lit(False))).first()
     assert np.allclose(r, (np.sqrt(2), 0.5, 1.0))
