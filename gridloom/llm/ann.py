@@ -6,7 +6,8 @@ the order of their estimated chance of success (the perturbation score of the di
 tables are merged, and the exact double-precision distances of the original vectors rank them.
 
 Queries come in blocks of ``QUERIES`` with their probes, broadcast; all vectors stay where they are and only each task's best rows
-move. So one bucket may hold any share of the vectors.
+move. So one bucket may hold any share of the vectors. Queries whose buckets hold fewer than K vectors are searched for again among all
+vectors, exactly.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql.window import Window
 from .common import Scratch, ship
 
 #: Hash tables, projections of a table, probes of a table, and the cell's width in units of the sampled neighbour distance.
-TABLES, WIDTH, PROBES, CELL = 10, 5, 60, 1.1
+TABLES, WIDTH, PROBES, CELL = 10, 5, 60, 1.05
 #: Queries searched for in one pass, and vectors sampled for the cell's width.
 QUERIES, SAMPLE = 2048, 512
 K = 10
@@ -84,12 +85,12 @@ class Hashes:
 
 
 class Block:
-    """A block of queries with their probes, by table."""
+    """A block of queries with their probes, by table; without hashes, every vector is a candidate."""
 
-    def __init__(self, ids: np.ndarray, q: np.ndarray, hashes: Hashes):
+    def __init__(self, ids: np.ndarray, q: np.ndarray, hashes: Hashes | None):
         self.ids, self.q, self.hashes = ids, q, hashes
         self.tables = []
-        for t in range(TABLES):
+        for t in range(TABLES if hashes else 0):
             p = hashes.probes(q, t)
             who = np.repeat(np.arange(len(q)), p.shape[1])
             order = np.argsort(p.ravel(), kind="stable")
@@ -97,7 +98,7 @@ class Block:
 
     def search(self, ids: np.ndarray, x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For each query with candidates among the vectors: its number, and the ids and distances of its K nearest."""
-        hit = np.zeros((len(self.q), len(x)), bool)
+        hit = np.full((len(self.q), len(x)), self.hashes is None)
         for t, (keys, who) in enumerate(self.tables):
             bucket = self.hashes.buckets(x, t)
             different, inverse = np.unique(bucket, return_inverse=True)
@@ -162,23 +163,27 @@ def nearest(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     x = np.array([r.embedding for r in seen if len(r.embedding) == size])
     gaps = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * x @ x.T, 0))
     gaps[np.arange(len(x)), np.arange(len(x))] = np.inf
-    near = float(np.median(gaps.min(1))) if len(x) > 1 else 1.0
+    near = float(np.quantile(gaps.min(1), 0.9)) if len(x) > 1 else 1.0  # a high quantile: copies may be many
     hashes = Hashes(size, CELL * (near if np.isfinite(near) and near > 0 else 1.0))
-    found, scratch, held = None, None, []
-
-    def one(part):
-        q = np.array([r.embedding for r in part])
-        block = spark.sparkContext.broadcast(Block(np.array([r.vec_id for r in part], np.int64), q, hashes))
-        return rows.mapInArrow(_searched(block), _FOUND)
-
-    for r in asked.toLocalIterator():
-        held.append(r)
-        if len(held) == QUERIES:
-            scratch = scratch or Scratch(spark)
-            new = scratch.save(one(held), "found")
-            found, held = new if found is None else found.unionAll(new), []
-    if held or found is None:
-        new = one(held) if held else spark.createDataFrame([], _FOUND)
-        found = new if found is None else found.unionAll(new)
+    scratch = Scratch(spark)
+
+    def searched(queries: DataFrame, hashes: Hashes | None) -> DataFrame:
+        """The best rows of each task, block by block of queries."""
+        found, held = spark.createDataFrame([], _FOUND), []
+
+        def one() -> DataFrame:
+            block = Block(np.array([r.vec_id for r in held], np.int64), np.array([r.embedding for r in held]), hashes)
+            return scratch.save(rows.mapInArrow(_searched(spark.sparkContext.broadcast(block)), _FOUND), "found")
+
+        for r in queries.toLocalIterator():
+            held.append(r)
+            if len(held) == QUERIES:
+                found, held = found.unionAll(one()), []
+        return found.unionAll(one()) if held else found
+
+    found = searched(asked, hashes)
+    enough = found.groupBy("query_id").count().where(F.col("count") >= K).select(F.col("query_id").alias("vec_id"))
+    rest = searched(asked.join(enough, "vec_id", "left_anti"), None)
+    found = found.join(enough.withColumnRenamed("vec_id", "query_id"), "query_id", "left_semi").unionAll(rest)
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= K).select("query_id", "rank", "vec_id", "score")

@@ -20,7 +20,7 @@ from .language import bucket, sample
 from .shingles import word_hashes, words
 
 #: Words of a passage, labelled rows learnt from at most (those with the smallest hashes of doc_id), and size of an encoding.
-PASSAGE, TRAIN_DOCS, HIDDEN = 64, 3000, 16
+PASSAGE, TRAIN_DOCS, HIDDEN = 64, 2000, 16
 #: Hashed words: places of the bag.
 BAG = 16
 STEPS, RATE, DECAY = 90, 0.03, 1e-4

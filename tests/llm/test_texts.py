@@ -13,7 +13,6 @@ import pytest
 from gridloom.llm import components, containment, html_text, language, ngram_join, pii, piece_codec, quality, token_orc
 from gridloom.llm.common import Scratch
 
-SF = "/root/testdata/sf0.001"
 PIECES, WORDS = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
 LONG = " ".join(f"w{i % 977}x{i}" for i in range(30_000))
 BASE = " ".join(f"word{i}" for i in range(60))
@@ -186,7 +185,7 @@ def test_tokens_words_equal_whole_texts():
 
 @pytest.fixture(scope="module")
 def documents(spark):
-    return spark.read.parquet(f"{SF}/documents.parquet").union(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id >= 200"))
+    return spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
 
 
 def test_language(spark, documents):
@@ -335,10 +334,11 @@ def test_html(spark):
         (1, "http://h/1", f"<html><head><title>t</title><style>p{{}}</style></head><body>{nav}<article><h1>Head &amp; more</h1><p><b>a <i>b</i>c<br>d<p>two\n three</p><script>var t='</p>';</script><section class='comments'><p>no</p></section></article><footer>f</footer>"),
         (2, "http://h/2", f"<body>{nav}{note}<p>{body}</p></body>"), (3, "http://h/3", f"<body>{nav}{note}<p>other {body[::-1]}</p></body>"),
         (4, None, None), (5, "http://h/5", ""), (6, "x", "just &lt;text&gt; 1 < 2"), (7, "http://H/7", "<main><p>m</p><form><input><p>no</p></form></main><p>out</p>"), (7, "http://g/7", "<p>a</p><aside>b<div>c</div></aside><p>d</p>"),
+        (8, "http://k/8", "<div class='page has-sidebar'><div class='sidebar'>s</div><article><header class='article-header'><h1>T</h1></header><p>x</p><article class='comment'>c</article><p>y</p></article></div>"),
     ]
     df = spark.createDataFrame([(*r, "h", 1) for r in rows], "page_id long, url string, html string, host string, salt int")
     got = collections.Counter((r.page_id, r.url, r.text) for r in html_text.extract(df).collect())
-    want = ["Head & more\na bc d\ntwo three", body, f"other {body[::-1]}", "", "", "just <text> 1 < 2", "m", "a\nd"]
+    want = ["Head & more\na bc d\ntwo three", body, f"other {body[::-1]}", "", "", "just <text> 1 < 2", "m", "a\nd", "T\nx\ny"]
     assert got == collections.Counter((p, u, t) for (p, u, _), t in zip(rows, want))
     assert all(r.n_chars == len(r.text) for r in html_text.extract(df).collect())
     assert html_text.extract(df.limit(0)).count() == 0

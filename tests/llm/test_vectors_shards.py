@@ -35,6 +35,8 @@ def test_nearest_hard_rows(spark):
     got = [tuple(r)[:3] for r in ann.nearest(df, df.where("vec_id % 100 = 0")).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 1), (0, 2, 2), (0, 3, 2), (0, 4, 3)]
     assert ann.nearest(df.limit(0), df).count() == 0
+    far = spark.createDataFrame([(100 * i, [float(i), 1.0]) for i in range(8)], "vec_id long, embedding array<double>")
+    assert ann.nearest(far, far).groupBy("query_id").count().where("count = 7").count() == 8
 
 
 def test_nearest_in_blocks(spark, monkeypatch):
