@@ -88,3 +88,26 @@ def batch_noise(df: DataFrame, column: str, sigma: float, seed: int, epoch: int,
     unit = lambda i, salt: (F.pmod(F.xxhash64(F.lit(seed), F.lit(epoch), F.col(index), i, F.lit(salt)), F.lit(1 << 52)) + 1) / float((1 << 52) + 1)
     noise = lambda v, i: (v.cast("double") + F.sqrt(F.log(unit(i, 1)) * -2) * F.cos(unit(i, 2) * (2 * np.pi)) * sigma).cast("float")
     return df.withColumn(f"{column}_noisy", F.transform(column, noise))
+
+
+def median_filter(name: str, x: np.ndarray, first: int, size: int = 3) -> np.ndarray:
+    """A chunk transform: the median of size x size places, edges repeated."""
+    pad = size // 2
+    padded = np.pad(x, [(0, 0)] * (x.ndim - 2) + [(pad, pad)] * 2, mode="edge")
+    return np.median(np.lib.stride_tricks.sliding_window_view(padded, (size, size), (-2, -1)), axis=(-2, -1)).astype(x.dtype)
+
+
+class Regrid:
+    """A chunk transform by sparse weights: rows of (target, source, weight) over the flattened inner field."""
+
+    def __init__(self, target: np.ndarray, source: np.ndarray, weight: np.ndarray, inner: tuple[int, ...]):
+        self.target, self.source, self.weight, self.inner = target, source, weight, tuple(inner)
+
+    def output_inner(self, geometry: Geometry) -> tuple[tuple[int, ...], str]:
+        return self.inner, geometry.dtype
+
+    def __call__(self, name: str, x: np.ndarray, first: int) -> np.ndarray:
+        flat = x.reshape(len(x), -1)[:, self.source] * self.weight
+        out = np.zeros((len(x), int(np.prod(self.inner))))
+        np.add.at(out, (slice(None), self.target), flat)
+        return out.reshape(len(x), *self.inner).astype(x.dtype)

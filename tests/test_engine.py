@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from gridloom import Dataset, StandardScaler, open_geometries, split_by_chunk
 from gridloom.check_transform import main
-from gridloom.functions import arrays, handoff, metrics
+from gridloom.functions import arrays, handoff, metrics, reports
 from gridloom.operators import transforms
 from gridloom.operators.cache import ChunkCache, StaleCache
 from gridloom.operators.views import View, gather
 from gridloom.plans.geometry import Geometry
-from gridloom.sources import ztensor
+from gridloom.sources import generators, references, ztensor
 from gridloom.streaming.windows import windowed
 
 RAGGED = np.random.default_rng(0).normal(size=(5, 9, 7)).astype("f4")
@@ -104,6 +104,50 @@ def test_chunk_transforms(spark):
     assert transforms.identity([Halve()]) == transforms.identity([Halve()]) != transforms.identity([drop_column])
 
 
+def test_median_filter_and_regrid(spark):
+    want = np.empty_like(RAGGED)
+    for i, j in np.ndindex(9, 7):
+        ys, xs = np.clip([i - 1, i, i + 1], 0, 8), np.clip([j - 1, j, j + 1], 0, 6)
+        want[:, i, j] = np.median(RAGGED[:, ys][:, :, xs].reshape(5, 9), axis=1)
+    assert np.array_equal(transforms.median_filter("x", RAGGED, 0), want)
+    g = Geometry("x", (5, 9, 7), (2, 9, 7))
+    half = transforms.Regrid(np.array([0, 0, 1]), np.array([0, 1, 62]), np.array([0.5, 0.5, 2.0]), (2,))
+    got = values(transforms.apply_chunk_transforms(frame(spark, RAGGED), g, [half]), (2,))
+    flat = RAGGED.reshape(5, -1)
+    assert np.allclose(got, np.stack(((flat[:, 0] + flat[:, 1]) / 2, 2 * flat[:, 62]), 1), atol=1e-6)
+
+
+def test_generators(spark, tmp_path):
+    a, b = (generators.normal_fields(spark, 200, (4, 4), seed=1, mean=3).repartition(k) for k in (2, 5))
+    assert np.array_equal(values(a, (4, 4)), values(b, (4, 4))) and abs(values(a, (4, 4)).mean() - 3) < 0.1
+    assert all(np.isnan(r.value).sum() <= 5 for r in generators.star_frames(spark, 4, 16).collect())
+    raw, mask = values(generators.cell_planes(spark, 3, 24), (2, 24, 24)), values(generators.cell_mask(spark, 3, 24), (24, 24))
+    assert raw[:, 0][mask > 0].mean() > raw[:, 0][mask == 0].mean() and 0 < mask.mean() < 1
+    generators.advected(str(tmp_path), 30, 12, chunk=8)
+    t = values(ztensor.read_samples(spark, str(tmp_path), ["t2m"])["t2m"], (12, 12))
+    assert len(t) == 30 and abs(t.std() - 1) < 1e-3 and np.abs(t[1] - t[0]).mean() < np.abs(t[20] - t[0]).mean()
+    f = RAGGED[0]
+    assert np.allclose(generators.bilinear(f, np.array([1.0, 8.5]), np.array([2.0, 6.5])), [f[1, 2], (f[8, 6] + f[8, 0] + f[0, 6] + f[0, 0]) / 4])
+
+
+def test_references_and_reports(spark, tmp_path):
+    (tmp_path / "blob").write_bytes(bytes(range(50)))
+    refs = spark.createDataFrame([("k", str(tmp_path / "blob"), 5, 3)], "key string, url string, offset long, length long")
+    assert bytes(references.read_ranges(refs).first().data) == b"\5\6\7"
+    (tmp_path / "uris.json").write_text('["s3://a/b", "s3://a/c"]')
+    assert [r.uri for r in references.uri_list(spark, str(tmp_path / "uris.json")).collect()] == ["s3://a/b", "s3://a/c"]
+    ztensor.write_array(str(tmp_path / "z"), "x", RAGGED, (2, 4, 4), codec="zstd")
+    assert references.raw_chunks(spark, str(tmp_path / "z"), "x").count() == 18
+    rows = spark.createDataFrame([(("a", 1), 0, 5.0), (("a", 1), 1, 7.0), (("b", 1), 0, 4.0)], "config struct<engine: string, geom: int>, epoch int, mb double")
+    reports.append_rows(rows, str(tmp_path / "m"))
+    got = reports.load_rows(spark, str(tmp_path / "m"), "config struct<engine: string, geom: int>, epoch int, mb double")
+    assert got.columns == ["engine", "geom", "epoch", "mb"]
+    assert {r.engine: r.steady for r in reports.steady_mean(got, ["engine"], "epoch", "mb").collect()} == {"a": 7.0, "b": 4.0}
+    top = spark.createDataFrame([("a", 10.0)], "engine string, top double")
+    assert {(r.engine, r.pct_of_ceiling) for r in reports.with_ceiling(got.where("epoch = 0"), top, ["engine"], "mb", "top").collect()} == {("a", 50.0), ("b", None)}
+    assert reports.throughput(got, 2.0, 8).first().samples_per_s == 1.5
+
+
 def test_expressions(spark):
     df = frame(spark, RAGGED)
     one = lambda c, shape: values(df.select("sample_index", c.alias("value")), shape)
