@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from ..plans.geometry import Geometry
+from .shared import ship
 
 TILES = "path string, chunk_index bigint, inner_coord array<int>, data binary, ok boolean"
 
@@ -197,6 +198,7 @@ class ZTensor(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    ship(spark)
     spark.dataSource.register(ZTensor)
 
 
