@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.shared import ship
+
 _ROOTS: dict[str, str] = {}
-_SHIPPED: set[str] = set()
 
 #: Bytes of text that one numpy step works on; bounds a worker's memory whatever the batch holds.
 STEP_BYTES = 2 << 20
@@ -24,22 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once an application, for clusters whose workers lack it on their path."""
-    sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
-        return
-    _SHIPPED.add(sc.applicationId)
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    out = os.path.join(tempfile.mkdtemp(prefix="gridloom-"), "gridloom.zip")
-    with zipfile.ZipFile(out, "w") as z:
-        for folder, _, files in os.walk(top):
-            for f in files:
-                if f.endswith(".py"):
-                    z.write(os.path.join(folder, f), os.path.relpath(os.path.join(folder, f), os.path.dirname(top)))
-    sc.addPyFile(out)
-
-
 def shared_root(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; where that is unset, a folder of our own, which only local mode may use."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
