@@ -220,16 +220,26 @@ def bucket(column: str = "doc_id"):
 
 
 def sample(rows: DataFrame, most: int) -> DataFrame:
-    """Rows (doc_id, ...) with the ``most`` smallest hashes of doc_id; ties with the last stay out, so the bound holds."""
-    h = F.xxhash64("doc_id")
-    low = rows.select(h.alias("h")).orderBy("h").limit(most + 1).agg(F.max("h"), F.count("*")).first()
-    return rows.where(h < F.lit(low[0])) if low[1] > most else rows
+    """At most ``most`` rows (doc_id, ...): those with the smallest hashes of doc_id, cut between two of 4,096 ranges of hashes (finer
+    ranges where the first holds too many). A pass counts ranges; nothing is sorted or gathered. Of more rows, null ids stay out."""
+    h, bits = F.xxhash64("doc_id"), 12
+    while True:
+        place = F.shiftrightunsigned(h, 64 - bits)
+        counts = {r.p: r["count"] for r in rows.where(F.col("doc_id").isNotNull() | F.lit(bits == 12)).select(place.alias("p")).where(F.col("p").between(0, 4095)).groupBy("p").count().collect()}  # 4,096 rows at most
+        if bits == 12 and sum(counts.values()) <= most:
+            return rows
+        total, cut = 0, 0
+        while cut < 4096 and total + counts.get(cut, 0) <= most:
+            total, cut = total + counts.get(cut, 0), cut + 1
+        if total or bits == 60:
+            return rows.where(F.col("doc_id").isNotNull() & (place.between(0, cut - 1)))
+        bits += 12
 
 
 def train(docs: DataFrame, path: str, most: int = TRAIN_DOCS) -> Model:
     """Learns from text and lang of docs whose crc32(doc_id) mod 4 is not 2; at most ``most`` rows come to the driver."""
-    rows = docs.select("doc_id", "text", "lang").where((bucket() % 4 != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    got = sample(rows, most).collect()
+    rows = docs.select("doc_id", "text", "lang").where((bucket() % 4 != 2) & F.col("lang").isNotNull())
+    got = [r for r in sample(rows, most).collect() if r.text is not None]
     return fit([r.text for r in got], [r.lang for r in got], path)
 
 

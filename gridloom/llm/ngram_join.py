@@ -362,7 +362,7 @@ def ngram_jaccard_components(docs: DataFrame, scratch: Scratch | None = None) ->
     seen = scratch.save(read.mapInArrow(_fingerprints, _SETS), "prints")
     sets = seen.where("kind = 0").select(F.col("x").alias("doc_id"), "fp", "fp2", "n")
     classes = scratch.save(sets.where("n > 0 and doc_id is not null").groupBy("fp", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    top = seen.where("kind = 1").groupBy("x").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "x").limit(RANKED).collect()
+    top = _most_frequent(scratch.save(seen.where("kind = 1").groupBy("x").agg(F.sum("n").alias("n")), "frequent"))
     keys = np.array([r.x for r in top], np.int64).view(np.uint64)
     order = np.argsort(keys)
     ranked = sc.broadcast((keys[order], np.array([int(r.n).bit_length() for r in top], np.int16)[order]))
@@ -419,6 +419,18 @@ def ngram_jaccard_components(docs: DataFrame, scratch: Scratch | None = None) ->
     return linked.unionAll(alone)
 
 
+def _most_frequent(counts: DataFrame) -> list:
+    """Rows (x, n) of the RANKED largest counts at most: a histogram of eighths of powers of two says from which count on."""
+    level = F.floor(F.log2("n") * 8).cast("int")
+    left, cut = RANKED, 1 << 30
+    for r in sorted(counts.groupBy(level.alias("k")).count().collect(), reverse=True):  # 512 rows at most
+        left -= r["count"]
+        if left < 0:
+            break
+        cut = r.k
+    return counts.where(level >= cut).collect()
+
+
 def _matched(pairs: DataFrame, whole: DataFrame, columns: list[str]) -> DataFrame:
     sides = [whole.select(F.col("fp").alias(k), *(F.col(c).alias(c + k) for c in columns)) for k in "ab"]
     return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", *(c + k for c in columns for k in "ab"))
