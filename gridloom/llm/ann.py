@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 from .common import Scratch, ship
 
 #: Hash tables, projections of a table, probes of a table, and the cell's width in units of the sampled neighbour distance.
-TABLES, WIDTH, PROBES, CELL = 10, 5, 60, 1.05
+TABLES, WIDTH, PROBES, CELL = 12, 5, 100, 1.1
 #: Queries searched for in one pass, and vectors sampled for the cell's width.
 QUERIES, SAMPLE = 2048, 512
 K = 10
