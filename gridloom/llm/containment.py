@@ -12,6 +12,7 @@ Items are broadcast in blocks of at most ``BLOCK`` shingles, one pass over the d
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -136,9 +137,7 @@ def contained_items(docs: DataFrame, items: DataFrame) -> DataFrame:
         index = spark.sparkContext.broadcast(Index(block))
         found = read.mapInArrow(_matches(index), _PAIRS)
         out.append(scratch.save(found, "pairs") if scratch else found)
-    whole = spark.createDataFrame([], _PAIRS)
-    for f in out:
-        whole = whole.unionAll(f) if f is not out[0] else f
+    whole = reduce(DataFrame.unionAll, out) if out else spark.createDataFrame([], _PAIRS)
     return whole.withColumn("containment", F.col("n_shared") / F.col("n_item"))
 
 

@@ -220,19 +220,21 @@ def bucket(column: str = "doc_id"):
 
 
 def sample(rows: DataFrame, most: int) -> DataFrame:
-    """At most ``most`` rows (doc_id, ...): those with the smallest hashes of doc_id, cut between two of 4,096 ranges of hashes (finer
-    ranges where the first holds too many). A pass counts ranges; nothing is sorted or gathered. Of more rows, null ids stay out."""
-    h, bits = F.xxhash64("doc_id"), 12
+    """At most ``most`` rows (doc_id, ...), by hashes of doc_id: of 4,096 ranges of hashes the first ones that fit, finer ranges where none
+    does. A pass counts ranges; nothing is sorted or gathered. Where there are more rows, those with a null id stay out."""
+    bits = 12
     while True:
-        place = F.shiftrightunsigned(h, 64 - bits)
-        counts = {r.p: r["count"] for r in rows.where(F.col("doc_id").isNotNull() | F.lit(bits == 12)).select(place.alias("p")).where(F.col("p").between(0, 4095)).groupBy("p").count().collect()}  # 4,096 rows at most
+        place = F.when(F.col("doc_id").isNotNull(), F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - bits))
+        counts = {r.p: r["count"] for r in rows.select(place.alias("p")).where("p is null or p < 4096").groupBy("p").count().collect()}  # 4,097 rows at most
         if bits == 12 and sum(counts.values()) <= most:
             return rows
-        total, cut = 0, 0
-        while cut < 4096 and total + counts.get(cut, 0) <= most:
-            total, cut = total + counts.get(cut, 0), cut + 1
-        if total or bits == 60:
-            return rows.where(F.col("doc_id").isNotNull() & (place.between(0, cut - 1)))
+        left, taken = most, []
+        for p in sorted(p for p in counts if p is not None):
+            if counts[p] <= left:
+                left -= counts[p]
+                taken.append(p)
+        if taken or bits == 60:
+            return rows.where(place.isin(taken))
         bits += 12
 
 
