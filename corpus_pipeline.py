@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import containment, language, ngram_join, pii, piece_codec
-from gridloom.llm.common import Scratch, table
+from gridloom.llm.common import BATCH_BYTES, Scratch, table
 from gridloom.llm.registry import PIECES
 
 #: Share of the probability that a document's likeliest language needs.
@@ -15,6 +15,7 @@ LEAST_SHARE = 0.5
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or of no clear language, go."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     found = language.identify(docs, language.train(docs, PIECES))
     return found.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_SHARE)).select(*docs.columns)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,11 +16,14 @@ from ..sources.shared import ship
 _ROOTS: dict[str, str] = {}
 
 #: Bytes of text that one numpy step works on; bounds a worker's memory whatever the batch holds.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
+#: Bytes of an Arrow batch between the JVM and Python, for the registered queries.
+BATCH_BYTES = "8m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -82,6 +86,15 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[o[0] : o[-1]], o - o[0]
 
 
+def trim() -> None:
+    """Gives memory that numpy and Arrow have freed back to the system: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def steps(batches: Iterator[pa.RecordBatch], text: str, most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about ``most`` bytes of text; a longer text stands alone."""
     for b in batches:
@@ -94,3 +107,4 @@ def steps(batches: Iterator[pa.RecordBatch], text: str, most: int = STEP_BYTES)
             to = max(at + 1, int(np.searchsorted(offs, offs[at] + most, "right")) - 1)
             yield b.slice(at, to - at)
             at = to
+    trim()

@@ -27,7 +27,7 @@ LONGEST = 8
 #: Rounds of expectation maximisation, pseudo-count of a piece, and probability of a letter without a piece.
 ROUNDS, PSEUDO, UNKNOWN = 4, 0.05, 1e-7
 #: Words of one length that are worked on at once.
-WIDE = 50_000
+WIDE = 20_000
 #: A letter's probability is scaled by this, so that products stay near one.
 _SCALE = 12.0
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -248,7 +248,7 @@ def train(docs: DataFrame, path: str, most: int = TRAIN_DOCS) -> Model:
 def _predicted(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        for b in steps(batches, "text", 8 << 20):
+        for b in steps(batches, "text", 3 << 20):
             lang, score = m.score([t or "" for t in b.column(b.schema.get_field_index("text")).to_pylist()])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names, "lang_pred", "lang_score"])
 

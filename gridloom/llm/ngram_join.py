@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, ship, steps, utf8
+from .common import Scratch, ship, steps, trim, utf8
 from .components import components
 from .shingles import shingle_sets
 
@@ -151,6 +151,7 @@ def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         if len(ranks) and last == own[0][0]:
             ranks[own[0] == last] += count
         yield [*own, ranks]
+    trim()
 
 
 def _places(h: np.ndarray) -> np.ndarray:
@@ -219,6 +220,7 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int, most: int = 200_000) ->
             held = [c]
     if held:
         yield joined()
+    trim()
 
 
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,6 +337,7 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if 7 * int(np.count_nonzero(z[1:] == z[:-1])) >= 3 * (len(x) + len(y)):
                 links.append((a, c))
         yield _batch("a long, b long", [x[0] for x in links], [x[1] for x in links])
+    trim()
 
 
 def _bitmaps(keys: DataFrame, columns: list[str]) -> list[bytes]:

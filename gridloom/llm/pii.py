@@ -33,7 +33,7 @@ TRAIN_DOCS, TRAIN_WINDOWS = 2000, 900
 #: Mean marginal probability that an added span needs, and its least number of characters. It must also begin and end with a word.
 SURE, SHORTEST = 0.95, 6
 #: Windows decoded together.
-TOGETHER = 2048
+TOGETHER = 512
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
