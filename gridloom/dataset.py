@@ -62,7 +62,10 @@ class Dataset:
             todo = samples.withColumn("chunk_id", F.expr(f"sample_index div {spc}")).join(miss, "chunk_id", "left_semi").drop("chunk_id")
             return apply_chunk_transforms(todo, g, self.chunk_transforms).withColumn("chunk_id", F.expr(f"sample_index div {spc}"))
 
-        return cache.get(self.spark.range(g.n_chunks).withColumnRenamed("id", "chunk_id"), compute).drop("chunk_id")
+        out = cache.get(self.spark.range(g.n_chunks).withColumnRenamed("id", "chunk_id"), compute).drop("chunk_id")
+        if cache.found and not cache.hits:
+            warnings.warn(f"the cache of {path} served none of its chunks", stacklevel=3)
+        return out
 
     def set_epoch(self, epoch: int) -> None:
         self.epoch = epoch

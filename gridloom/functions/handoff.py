@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import importlib
+import time
 
 import numpy as np
 
@@ -52,3 +53,28 @@ def tf_dataset(dataset, split: str, labels: list[str], inner: dict[str, tuple[in
     tf = _need("tensorflow", "tf")
     signature = {k: tf.TensorSpec((None, *inner[k]), dtype) for k in labels}
     return tf.data.Dataset.from_generator(lambda: (arrays(rows, labels, inner) for rows in dataset.iterate(split)), output_signature=signature).prefetch(2)
+
+
+class Timed:
+    """Passes batches through and keeps the times of a pass: seconds to the first batch, waits for each next one, and the consumer's own."""
+
+    def __init__(self, batches):
+        self.batches, self.first, self.waits, self.work = batches, None, [], []
+
+    def __iter__(self):
+        asked = time.perf_counter()
+        for b in self.batches:
+            came = time.perf_counter()
+            if self.first is None:
+                self.first = came - asked
+            else:
+                self.waits.append(came - asked)
+            yield b
+            asked = time.perf_counter()
+            self.work.append(asked - came)
+
+    @property
+    def stall(self) -> float:
+        """The share of time spent waiting, the first batch left out."""
+        whole = sum(self.waits) + sum(self.work)
+        return sum(self.waits) / whole if whole else 0.0

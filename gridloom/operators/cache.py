@@ -32,6 +32,7 @@ class ChunkCache:
         self.spark, self.path, self.schema = spark, path, f"{schema}, chunk_id bigint"
         self.header = {"format": FORMAT, "pipeline": fingerprint, "schema": schema}
         self.hits = self.misses = 0
+        self.found = False
         fs, top = _fs(spark, path)
         old = self._header()
         if old is not None and old != self.header:
@@ -39,6 +40,7 @@ class ChunkCache:
                 raise StaleCache(f"{path} belongs to another pipeline; reset it or choose another folder")
             fs.delete(top, True)
             old = None
+        self.found = old is not None
         if old is None:
             spark.createDataFrame([(json.dumps(self.header),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_header")
 

@@ -127,6 +127,16 @@ def open_geometries(url: str, variables: list[str] | None = None, *, sample_axis
     return {n: x.geometry for n, x in layouts(url, variables, sample_axis).items()}
 
 
+def ready(url: str, expected: dict[str, Geometry]) -> bool:
+    """Whether a store already holds these arrays, with these shapes, chunks and types."""
+    try:
+        found = open_geometries(url, list(expected))
+    except (KeyError, TypeError, ValueError, OSError):
+        return False
+    same = lambda a, b: (a.shape, a.chunks, np.dtype(a.dtype)) == (b.shape, b.chunks, np.dtype(b.dtype))
+    return all(same(found[n], g) for n, g in expected.items())
+
+
 class _Tiles(InputPartition):
     def __init__(self, name: str, chunks: list[int]):
         super().__init__(0)

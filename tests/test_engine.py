@@ -68,6 +68,18 @@ def test_metadata_errors(tmp_path):
     assert open_geometries(str(tmp_path), ["u"])["u"].sample_chunk_size == 8
 
 
+def test_ready(tmp_path):
+    g = Geometry("u", (40, 2), (8, 2), "<f4")
+    assert not ztensor.ready(str(tmp_path), {"u": g})
+    ztensor.write_array(str(tmp_path), "u", np.zeros((40, 2), "f4"), (8, 2))
+    assert ztensor.ready(str(tmp_path), {"u": g}) and not ztensor.ready(str(tmp_path), {"u": Geometry("u", (40, 2), (4, 2), "<f4")})
+
+
+def test_timed():
+    t = handoff.Timed(iter(range(4)))
+    assert list(t) == [0, 1, 2, 3] and t.first >= 0 and len(t.waits) == 3 and 0 <= t.stall <= 1
+
+
 def test_filters_prune_tiles(tmp_path):
     from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, LessThan
 
