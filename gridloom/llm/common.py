@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -53,6 +54,11 @@ class Scratch:
         self.paths[id(out)] = (path, out)
         return out
 
+    def release(self) -> None:
+        """Lets go of the shuffle files of jobs that are done: Spark removes them once the driver's collector finds them unused."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *frames: DataFrame) -> None:
         for f in frames:
             path, _ = self.paths.pop(id(f), (None, None))

@@ -20,6 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -372,6 +373,8 @@ def ngram_jaccard_components(docs: DataFrame, scratch: Scratch | None = None) ->
     texts = read.where("doc_id is not null").select("text")
     rows = texts.mapInArrow(_prefixes(ranked), _ROWS)
     shared = scratch.save(rows.repartition("h").sortWithinPartitions("h", "n", "fp").mapInArrow(_shared, _ROWS + ", blk int"), "shared")
+    del rows
+    scratch.release()
 
     own = F.col("fp").alias("comp")
     pairs = shared.select("h", "n", "fp", "pos", own).repartition("h").sortWithinPartitions("h", "n", "fp").mapInArrow(_sparse, "a long, b long")
@@ -441,7 +444,22 @@ def _matched(pairs: DataFrame, whole: DataFrame, columns: list[str]) -> DataFram
 
 def ngram_jaccard_keep(docs: DataFrame) -> DataFrame:
     """The rows of docs without near copies: of each component the document with the smallest id stays, whole and with all columns. Rows with a null id stay."""
-    found = ngram_jaccard_components(docs)
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    spark = docs.sparkSession
+    scratch = Scratch(spark)
+    found = ngram_jaccard_components(docs, scratch).where("doc_id is not null")
+    ids = scratch.save(found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("stays")), "ids")
+    scratch.release()
+    # Only rows whose id the filter of dropped and repeated ids knows are shuffled; all others stay where they are.
+    field = spark.sparkContext.broadcast(_bitmaps(ids.where("stays = 0 or n > 1"), ["doc_id"])[0])
+    known = F.pandas_udf(_known(field), "boolean")(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)))
+    marked = docs.where("doc_id is not null").withColumn("_known", known)
+    kept = marked.where("_known").drop("_known").join(ids.where("stays = 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return marked.where("not _known").drop("_known").unionByName(kept).unionByName(docs.where("doc_id is null"))
+
+
+def _known(field):
+    def run(ids: pd.Series) -> pd.Series:
+        at = ids.to_numpy() & (FILTER_BITS - 1)
+        return pd.Series((np.frombuffer(field.value, np.uint8)[at >> 3] >> (at & 7) & 1).astype(bool))
+
+    return run
