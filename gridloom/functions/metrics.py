@@ -70,19 +70,20 @@ def robust_scaled(long: DataFrame, by: str, value: str, limit: float = 5.0) -> D
 
 def otsu(long: DataFrame, by: str, value: str, bins: int = 256) -> DataFrame:
     """(by, threshold): the bin centre that parts a sample's values with the greatest between-class variance; the value itself if constant."""
-    v = F.col(value).cast("double")
-    ends = long.groupBy(by).agg(F.min(v).alias("lo"), F.max(v).alias("hi"))
-    place = F.least(F.floor((v - F.col("lo")) / ((F.col("hi") - F.col("lo")) / bins)), F.lit(bins - 1)).cast("int")
-    hist = long.join(ends, by).where("hi > lo").groupBy(by, place.alias("bin"), "lo", "hi").agg(F.count("*").cast("double").alias("w"))
-    centre = F.col("lo") + (F.col("bin") + 0.5) * ((F.col("hi") - F.col("lo")) / bins)
-    run, whole = Window.partitionBy(by).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(by)
-    hist = hist.withColumn("centre", centre)
-    hist = hist.withColumns({"wf": F.sum("w").over(run), "n": F.sum("w").over(whole), "cs": F.sum(F.col("w") * F.col("centre")).over(run), "all": F.sum(F.col("w") * F.col("centre")).over(whole)})
+    long = long.select(F.col(by).alias("of"), F.col(value).cast("double").alias("v"))
+    ends = long.groupBy("of").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    step = (F.col("hi") - F.col("lo")) / bins
+    place = F.least(F.floor((F.col("v") - F.col("lo")) / step), F.lit(bins - 1)).cast("int")
+    hist = long.join(ends, "of").where("hi > lo").groupBy("of", place.alias("bin"), "lo", "hi").agg(F.count("*").cast("double").alias("w"))
+    hist = hist.withColumn("centre", F.col("lo") + (F.col("bin") + 0.5) * step)
+    run, whole = Window.partitionBy("of").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("of")
+    mass = F.col("w") * F.col("centre")
+    hist = hist.withColumns({"wf": F.sum("w").over(run), "n": F.sum("w").over(whole), "cs": F.sum(mass).over(run), "all": F.sum(mass).over(whole)})
     wb = F.col("n") - F.col("wf")
     gap = F.col("cs") / F.greatest(F.col("wf"), F.lit(1.0)) - (F.col("all") - F.col("cs")) / F.greatest(wb, F.lit(1.0))
     hist = hist.withColumn("between", F.round(F.col("wf") * wb * gap * gap, 9))
-    best = hist.withColumn("k", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("between"), "bin"))).where("k = 1").select(by, F.col("centre").alias("threshold"))
-    return ends.join(best, by, "left").select(by, F.coalesce("threshold", "hi").alias("threshold"))
+    best = hist.withColumn("place", F.row_number().over(Window.partitionBy("of").orderBy(F.desc("between"), "bin"))).where("place = 1").select("of", F.col("centre").alias("threshold"))
+    return ends.join(best, "of", "left").select(F.col("of").alias(by), F.coalesce("threshold", "hi").alias("threshold"))
 
 
 def median_iqr(df: DataFrame, by: list[str], value: str) -> DataFrame:
