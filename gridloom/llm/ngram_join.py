@@ -391,12 +391,13 @@ def ngram_jaccard_components(docs: DataFrame, scratch: Scratch | None = None) ->
 
     links = linked(tried)
 
-    last, found_more, rounds = False, True, 0
+    last, found_more, rounds, base = False, True, 0, shared
     while not last:
         comps = scratch.save(components(links, scratch), "comps")
-        rows = shared.join(comps.withColumnsRenamed({"v": "fp", "c": "comp"}), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
+        rows = base.join(comps.withColumnsRenamed({"v": "fp", "c": "comp"}), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
         mixed = rows.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("blk").alias("top"), F.count("*").alias("m")).where("lo <> hi").select("h", "top", "m")
         rows = scratch.save(rows.join(mixed, "h"), "mixed")
+        base = rows.select("h", "n", "fp", "pos", "blk")  # components only merge: a column of one stays so
         some = rows.agg(F.count("*"), F.sum("m")).first()
         if not some[0]:
             break
