@@ -1,7 +1,8 @@
 """Named queries over the star-schema tables, each with the SQL that must give the same rows.
 
 ``events`` is a sampled axis (event_id is dense), ``embeddings`` a second one whose payload is an 8 x 8 field, ``orders`` a co-registered
-variable with chunks of its own. Every query covers its whole table.
+variable with chunks of its own. Every query covers its whole table, but for ``gather_shuffled_blocks`` (draw blocks 0 to 2, as its SQL
+says; ``gather_shuffled`` is the gather over all blocks) and ``ztensor_scan`` (a fixed array).
 """
 
 from __future__ import annotations
@@ -153,6 +154,11 @@ def chunk_permutation(spark, d):
     return ordering.chunk_permutation(manifest(axis(spark, d)[1]).chunks(spark), SEED, EPOCH)
 
 
+def _gathered(spark, d, rows):
+    x = View(axis(spark, d)[0], "event_id", "value")
+    return views.gather(rows.select("draw_pos", "anchor"), {"x": x, "y": x.shift(-1)}).select("draw_pos", "anchor", "x", "y")
+
+
 def _shuffled(spark, d):
     n = axis(spark, d)[1]
     return ordering.block_shuffled_order(manifest(n).chunks(spark), SPC, n, block_chunks=BLOCK, seed=SEED, epoch=EPOCH)
@@ -241,10 +247,14 @@ def gather_forecast(spark, d):
 
 @query(f"""WITH {P} SELECT d.draw_pos, d.anchor, x.value AS x, y.value AS y FROM dr d JOIN events x ON x.event_id = d.anchor JOIN events y ON y.event_id = d.anchor - 1 WHERE d.anchor >= 1 AND d.block_id < 3""")
 def gather_shuffled_blocks(spark, d):
-    df = axis(spark, d)[0]
-    x = View(df, "event_id", "value")
-    rows = _shuffled(spark, d).where("block_id < 3").select("draw_pos", "anchor")
-    return views.gather(rows, {"x": x, "y": x.shift(-1)}).select("draw_pos", "anchor", "x", "y")
+    """The first three draw blocks alone, at most 3 * BLOCK * SPC anchors of any table."""
+    return _gathered(spark, d, _shuffled(spark, d).where("block_id < 3"))
+
+
+@query(f"""WITH {P} SELECT d.draw_pos, d.anchor, x.value AS x, y.value AS y FROM dr d JOIN events x ON x.event_id = d.anchor JOIN events y ON y.event_id = d.anchor - 1 WHERE d.anchor >= 1""")
+def gather_shuffled(spark, d):
+    """For each anchor of all shuffled blocks its value and the one before."""
+    return _gathered(spark, d, _shuffled(spark, d))
 
 
 @query("SELECT a.event_id AS anchor, CAST(s AS INTEGER) AS step, b.value AS value FROM events a, (SELECT unnest(range(3)) s) JOIN events b ON b.event_id = a.event_id + s - 2 WHERE a.event_id >= 2")
