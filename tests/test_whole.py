@@ -1,5 +1,6 @@
 """Queries cover their whole input, and give the same whatever its size or the blocks it is dealt to."""
 
+from gridloom.llm import html_text
 from gridloom.plans import catalogue
 
 SF = "/root/testdata/sf0.01"
@@ -9,3 +10,10 @@ def test_gather_covers_all_shuffled_blocks(spark):
     values = {r.event_id: r.value for r in spark.read.parquet(f"{SF}/events.parquet").collect()}
     got = {r.anchor: (r.x, r.y) for r in catalogue.gather_shuffled(spark, SF).collect()}
     assert got == {k: (v, values[k - 1]) for k, v in values.items() if k >= 1} and len(got) > 3 * catalogue.BLOCK * catalogue.SPC
+
+
+def test_copies_of_an_unmarked_page_keep_their_text(spark):
+    text = " ".join(f"u{i}" for i in range(20))
+    rows = [(1, "http://h/1", f"<p>{text}</p>"), (1, "http://h/1", f"<p>{text}</p>"), (2, "http://h/2", f"<div><p>{text}</p></div>"), (3, "http://h/3", "<p>another text</p>")]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id, r.text, r.n_repeated) for r in got) == [(1, text, 0), (1, text, 0), (2, text, 0), (3, "another text", 0)]
