@@ -1,5 +1,7 @@
 """Queries cover their whole input, and give the same whatever its size or the blocks it is dealt to."""
 
+import numpy as np
+
 from gridloom.llm import html_text
 from gridloom.plans import catalogue
 
@@ -17,3 +19,22 @@ def test_copies_of_an_unmarked_page_keep_their_text(spark):
     rows = [(1, "http://h/1", f"<p>{text}</p>"), (1, "http://h/1", f"<p>{text}</p>"), (2, "http://h/2", f"<div><p>{text}</p></div>"), (3, "http://h/3", "<p>another text</p>")]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert sorted((r.page_id, r.text, r.n_repeated) for r in got) == [(1, text, 0), (1, text, 0), (2, text, 0), (3, "another text", 0)]
+
+
+def test_a_host_in_blocks_gives_what_a_host_in_one_gives(spark, monkeypatch):
+    """Runs shared by pages of different blocks, copies, pages with an article and without, a second host."""
+    r = np.random.default_rng(3)
+    shared = [" ".join(f"s{k}w{i}" for i in range(8 + k)) for k in range(12)]
+    rows = []
+    for i in range(60):
+        own = [" ".join(f"p{i}q{j}n{k}" for k in range(int(r.integers(1, 15)))) for j in range(3)]
+        own += [shared[k] for k in r.integers(0, 12, 2)]
+        html = "".join(f"<p>{x}</p>" for x in own)
+        rows.append((i, f"http://h{i % 7 == 0}/{i}", f"<article>{html}</article>" if i % 3 == 0 else html))
+    rows += [(100 + i, f"http://hFalse/c{i}", rows[1][2]) for i in range(5)] + [(200, None, None), (201, "http://hFalse/e", "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = sorted(map(repr, html_text.extract(df).collect()))
+    monkeypatch.setattr(html_text, "BLOCK_BYTES", 900)
+    monkeypatch.setattr(html_text, "BUCKET_BYTES", 2000, raising=False)
+    assert sorted(map(repr, html_text.extract(df).collect())) == want
+    assert sum("n_repeated=0" not in x for x in want) > 10
