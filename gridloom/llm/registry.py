@@ -41,8 +41,11 @@ def op6_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, scratch = table(spark, sf_dir, "documents").drop("shard"), Scratch(spark)
     rows, blocks = reshard.assign(docs, F.pmod(F.xxhash64("doc_id"), F.lit(OLD_SHARDS)), NEW_SHARDS, scratch)
     path = scratch.path("shards")
-    reshard.rewrite(rows, blocks, NEW_SHARDS, path)
-    return reshard.slots(reshard.read_shards(spark, path, rows.schema), scratch)
+    written = reshard.rewrite(rows, blocks, NEW_SHARDS, path)
+    out = reshard.read_shards(spark, path, rows.schema)
+    if set(blocks) - set(written):  # shards that stay as they are have no files here: their rows are the table's own
+        out = out.unionByName(rows.where(~F.col("shard").isin(written)))
+    return reshard.slots(out, scratch)
 
 
 def op7_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,11 @@
 """Queries cover their whole input, and give the same whatever its size or the blocks it is dealt to."""
 
+import collections
+
 import numpy as np
+from pyspark.sql import functions as F
 
-from gridloom.llm import html_text
+from gridloom.llm import html_text, registry
 from gridloom.plans import catalogue
 
 SF = "/root/testdata/sf0.01"
@@ -38,3 +41,14 @@ def test_a_host_in_blocks_gives_what_a_host_in_one_gives(spark, monkeypatch):
     monkeypatch.setattr(html_text, "BUCKET_BYTES", 2000, raising=False)
     assert sorted(map(repr, html_text.extract(df).collect())) == want
     assert sum("n_repeated=0" not in x for x in want) > 10
+
+
+def test_reshard_returns_shards_that_stay(spark, tmp_path):
+    """Equal sizes: old shard 0 holds just its new capacity, so it is not written again."""
+    by = collections.defaultdict(list)
+    for r in spark.range(200).select("id", F.pmod(F.xxhash64("id"), F.lit(registry.OLD_SHARDS)).alias("s")).collect():
+        by[r.s].append(r.id)
+    ids = [by[0][0], *by[1][:3], *by[2][:2], *by[3][:2]]
+    spark.createDataFrame([(i, None) for i in ids], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = registry.op6_reshard(spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in got) == sorted(ids) and sorted(r.shard for r in got) == list(range(8))
