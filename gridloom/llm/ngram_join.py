@@ -32,7 +32,7 @@ from .shingles import shingle_sets
 
 #: Rows of a column that are multiplied with each other in one task.
 BLOCK = 4096
-#: Rows of one column that are held at once when rows without a possible partner are dropped; parts of longer columns are judged alone, #: so only rows that have no partner in any size go.
+#: Rows of one column that are held at once when rows without a possible partner are dropped; of longer columns, which come in parts, all rows stay.
 LONGEST = 1 << 22
 #: Mean length of columns that still hold several components, up to which they are multiplied whole at once.
 LONG = 64
@@ -125,9 +125,9 @@ def _columns(b: pa.RecordBatch) -> list[np.ndarray]:
 
 
 def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Rows of whole columns with their place in the column; a column of over ``LONGEST`` rows comes in parts."""
+    """Rows of whole columns with their place in the column, and whether it comes in parts, as one of over ``LONGEST`` rows does."""
     held: list[list[np.ndarray]] = []
-    count, last = 0, None
+    count, last, cutoff = 0, None, False
     for b in batches:
         if not b.num_rows:
             continue
@@ -141,16 +141,20 @@ def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         if cut:
             own = [x[:cut] for x in c]
             ranks = _places(own[0])
+            parted = np.full(cut, not len(cuts))
             if last == own[0][0]:
                 ranks[own[0] == last] += count
-            last, count = own[0][-1], int(ranks[-1]) + 1
-            yield [*own, ranks]
+                parted |= (own[0] == last) & cutoff
+            last, count, cutoff = own[0][-1], int(ranks[-1]) + 1, not len(cuts)
+            yield [*own, ranks, parted]
     if held:
         own = [np.concatenate(x) for x in zip(*held)]
         ranks = _places(own[0])
+        parted = np.zeros(len(ranks), bool)
         if len(ranks) and last == own[0][0]:
             ranks[own[0] == last] += count
-        yield [*own, ranks]
+            parted |= own[0] == last
+        yield [*own, ranks, parted]
     trim()
 
 
@@ -164,12 +168,13 @@ def _places(h: np.ndarray) -> np.ndarray:
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by (h, n, fp): those that may link by their column, each with the number of its block in it.
 
-    A row goes if no other row of its column has a size that its own size and position still allow; twice, as rows that go free others.
+    A row goes if no other row of its column has a size that its own size and position still allow; twice, as rows that go free others. Rows of a
+    column that comes in parts stay.
     """
-    for h, n, fp, pos, rank in _ranked(batches):
+    for h, n, fp, pos, rank, parted in _ranked(batches):
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (fp[1:] != fp[:-1])
-        h, n, fp, pos, rank = (x[new] for x in (h, n, fp, pos, rank))
+        h, n, fp, pos, rank, parted = (x[new] for x in (h, n, fp, pos, rank, parted))
         for _ in range(2):
             if not len(h):
                 break
@@ -181,7 +186,8 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             itself = at == np.arange(len(h))
             at = np.minimum(at + itself, len(h) - 1)
             keep = (run[at] == run) & (at != np.arange(len(h))) & (3 * n[at].astype(np.int64) <= 4 * n.astype(np.int64) - 7 * pos)
-            h, n, fp, pos, rank = (x[keep] for x in (h, n, fp, pos, rank))
+            keep |= parted
+            h, n, fp, pos, rank, parted = (x[keep] for x in (h, n, fp, pos, rank, parted))
         if len(h):
             yield _batch(_ROWS + ", blk int", h, n, fp, pos, rank // BLOCK)
 

@@ -5,7 +5,7 @@ import collections
 import numpy as np
 from pyspark.sql import functions as F
 
-from gridloom.llm import html_text, registry
+from gridloom.llm import html_text, ngram_join, registry
 from gridloom.plans import catalogue
 
 SF = "/root/testdata/sf0.01"
@@ -52,3 +52,12 @@ def test_reshard_returns_shards_that_stay(spark, tmp_path):
     spark.createDataFrame([(i, None) for i in ids], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = registry.op6_reshard(spark, str(tmp_path)).collect()
     assert sorted(r.doc_id for r in got) == sorted(ids) and sorted(r.shard for r in got) == list(range(8))
+
+
+def test_rows_at_the_edge_of_a_part_stay(monkeypatch):
+    """A column of more rows than LONGEST; rows of size 200 on both sides of the edge between its parts."""
+    monkeypatch.setattr(ngram_join, "LONGEST", 20_000)
+    part = lambda n, fp: ngram_join._batch(ngram_join._ROWS, np.ones(len(n), np.int64), n, fp, np.zeros(len(n), np.int32))
+    first = part(np.append(np.full(19_999, 100, np.int32), np.int32(200)), np.arange(20_000))
+    got = [b.column(2).to_pylist() for b in ngram_join._shared(iter([first, part(np.array([200], np.int32), np.array([20_000]))]))]
+    assert {19_999, 20_000} <= {x for b in got for x in b}
