@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import Scratch, ship, steps, trim, utf8
@@ -356,16 +357,10 @@ def _bitmaps(keys: DataFrame, columns: list[str]) -> list[bytes]:
     return [x.tobytes() for x in out]
 
 
-def ngram_jaccard_components(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """docs (doc_id, text, ...) -> one row per row of docs: doc_id, n_shingles, component_id.
-
-    component_id is the smallest doc_id that links reach. A text that is null or has no word has no shingle and links with nothing;
-    a text of under five words is one shingle. Equal sets always link. Rows with a null doc_id are returned with a null component and
-    link with nothing. Rows are what links, so rows with one id but different texts may be in different components. Other columns are not read.
-    """
+def _linked(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Rows that have an id and a shingle: doc_id, fp and n_shingles of their set, comp, component_id; and the other rows."""
     spark = docs.sparkSession
     ship(spark)
-    scratch = scratch or Scratch(spark)
     sc = spark.sparkContext
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     seen = scratch.save(read.mapInArrow(_fingerprints, _SETS), "prints")
@@ -425,10 +420,21 @@ def ngram_jaccard_components(docs: DataFrame, scratch: Scratch | None = None) ->
     comps = scratch.save(components(links, scratch), "comps").withColumnsRenamed({"v": "fp", "c": "comp"})
     named = classes.join(comps, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    ids = named.join(least, "comp").select("fp", "n", "component_id")
-    linked = sets.where("n > 0 and doc_id is not null").join(ids, ["fp", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    ids = named.join(least, "comp").select("fp", "n", "comp", "component_id")
+    linked = sets.where("n > 0 and doc_id is not null").join(ids, ["fp", "n"]).select("doc_id", "fp", F.col("n").alias("n_shingles"), "comp", "component_id")
     alone = sets.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return linked.unionAll(alone)
+    return linked, alone
+
+
+def ngram_jaccard_components(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """docs (doc_id, text, ...) -> one row per row of docs: doc_id, n_shingles, component_id.
+
+    component_id is the smallest doc_id that links reach. A text that is null or has no word has no shingle and links with nothing;
+    a text of under five words is one shingle. Equal sets always link. Rows with a null doc_id are returned with a null component and
+    link with nothing. Rows are what links, so rows with one id but different texts may be in different components. Other columns are not read.
+    """
+    linked, alone = _linked(docs, scratch or Scratch(docs.sparkSession))
+    return linked.select("doc_id", "n_shingles", "component_id").unionAll(alone)
 
 
 def _most_frequent(counts: DataFrame) -> list:
@@ -448,9 +454,27 @@ def _matched(pairs: DataFrame, whole: DataFrame, columns: list[str]) -> DataFram
     return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", *(c + k for c in columns for k in "ab"))
 
 
+def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in steps(batches, "_text"):
+        sets = shingle_sets(*utf8(b.column(b.schema.get_field_index("_text"))))
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array([_print(s)[0] for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], [*b.schema.names, "_fp", "_n"])
+
+
 def ngram_jaccard_keep(docs: DataFrame) -> DataFrame:
-    """The rows of docs without near copies: of each component the document with the smallest id stays, whole and with all columns. Rows with a null id stay."""
-    found = ngram_jaccard_components(docs)
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """The rows of docs without near copies: of each component a row with its smallest id stays, whole and with all columns. Rows of one id
+    go only if their texts are equal or linked. Rows with a null id stay."""
+    scratch = Scratch(docs.sparkSession)
+    linked, alone = _linked(docs, scratch)
+    found = linked.select("doc_id", (F.col("doc_id") == F.col("component_id")).alias("own")).unionAll(alone.where("doc_id is not null").select("doc_id", F.lit(True).alias("own")))
+    ids = scratch.save(found.groupBy("doc_id").agg(F.count("*").alias("m"), F.max("own").alias("own")), "ids")
+    kept = docs.join(ids.where("m = 1 and own").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    many = ids.where("m > 1").select("doc_id")
+    if not many.isEmpty():  # which row of a repeated id stays is said by its set
+        first = linked.where("doc_id = component_id").join(many, "doc_id", "left_semi").groupBy("comp").agg(F.min(F.struct("doc_id", "fp", "n_shingles")).alias("k"))
+        first = first.select(F.col("k.doc_id").alias("_id"), F.col("k.fp").alias("_fp"), F.col("k.n_shingles").cast("long").alias("_n"))
+        rows = docs.join(many, "doc_id", "left_semi").select(*docs.columns, F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text"))
+        rows = rows.mapInArrow(_printed, T.StructType([*rows.schema.fields, T.StructField("_fp", T.LongType()), T.StructField("_n", T.LongType())]))
+        sets = rows.where("_n > 0").join(first, ["_id", "_fp", "_n"], "left_semi").dropDuplicates(["_id", "_fp", "_n"])
+        empty = rows.where("_n = 0").dropDuplicates(["_id", "_text"])
+        kept = kept.unionByName(sets.select(*docs.columns)).unionByName(empty.select(*docs.columns))
     return kept.unionByName(docs.where("doc_id is null"))

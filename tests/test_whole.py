@@ -61,3 +61,12 @@ def test_rows_at_the_edge_of_a_part_stay(monkeypatch):
     first = part(np.append(np.full(19_999, 100, np.int32), np.int32(200)), np.arange(20_000))
     got = [b.column(2).to_pylist() for b in ngram_join._shared(iter([first, part(np.array([200], np.int32), np.array([20_000]))]))]
     assert {19_999, 20_000} <= {x for b in got for x in b}
+
+
+def test_rows_of_a_repeated_id_are_kept_by_their_text(spark):
+    """Id 12: a text of its own, a near copy of document 1's and its own text again; id 13: two texts that do not link; id 14: two empty ones."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(1, a), (12, f"{a} tail"), (12, b), (12, b), (13, c), (13, d), (14, ""), (14, ""), (15, c), (None, a)]
+    for order in (rows, rows[::-1]):
+        kept = ngram_join.ngram_jaccard_keep(spark.createDataFrame(order, "doc_id long, text string").coalesce(1)).collect()
+        assert sorted((r.doc_id or 0, r.text) for r in kept) == [(0, a), (1, a), (12, b), (13, c), (13, d), (14, "")]
