@@ -2,7 +2,8 @@
 
 Each language has a probability for every piece of one fixed public vocabulary. A word's probability in a language is the sum, over all
 ways to cut it into pieces, of the products of their probabilities; the forward algorithm computes it in one pass over the word, for
-all words of a block and all languages at once. A text's score is the product over its words times the language's share, normalised
+all words of a block and all languages at once (long words letter by letter). All lower-case pieces of letters count, whatever their length,
+and texts are read as their words of letters in lower case. A text's score is the product over its words times the language's share, normalised
 over the languages. The piece probabilities are learnt by expectation maximisation (forward and backward) on labelled texts.
 """
 
@@ -18,12 +19,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import ship, steps
+from .sampling import draw
 from .shingles import mix
 
-#: Labelled texts that the probabilities are learnt from at most: those with the smallest hashes of doc_id.
+#: Labelled texts that the probabilities are learnt from at most, the same share of each language; their bytes: ``sampling.SAMPLE_BYTES``.
 TRAIN_DOCS = 2400
-#: Letters of the longest piece that is used.
-LONGEST = 8
+#: Words of more letters are worked on one by one, so that their cost is in proportion to their length.
+LONG = 128
 #: Rounds of expectation maximisation, pseudo-count of a piece, and probability of a letter without a piece.
 ROUNDS, PSEUDO, UNKNOWN = 4, 0.05, 1e-7
 #: Words of one length that are worked on at once.
@@ -36,7 +38,8 @@ _BITS = 21
 
 
 class Vocabulary:
-    """The lower-case letter pieces of a SentencePiece model, by hash; number 0 is none, 1 an unknown letter."""
+    """The lower-case letter pieces of a SentencePiece model, by hash; number 0 is none, 1 an unknown letter. Beginnings of pieces that are no
+    piece themselves have numbers from ``len(pieces)`` on, so a search goes on only where a longer piece may follow."""
 
     def __init__(self, path: str):
         from sentencepiece import sentencepiece_model_pb2 as pb
@@ -45,9 +48,13 @@ class Vocabulary:
         with open(path, "rb") as f:
             proto.ParseFromString(f.read())
         bare = (p.piece for p in proto.pieces if p.type == pb.ModelProto.SentencePiece.NORMAL)
-        own = [p for p in bare if (w := p.removeprefix("▁")) == w.lower() and (not w or w.isalpha()) and len(p) <= LONGEST]
+        own = [p for p in bare if (w := p.removeprefix("▁")) == w.lower() and (not w or w.isalpha())]
         self.pieces = ["", "?", *own]
-        h = np.array([0, 1, *(self._hash(p) for p in own)], np.uint64)
+        self.number = {p: i for i, p in enumerate(self.pieces) if i > 1}
+        self.longest = max(map(len, own), default=1)
+        self.begun = {p[:k] for p in own for k in range(1, len(p))}
+        h = np.array([0, 1, *(self._hash(p) for p in own), *(self._hash(p) for p in sorted(self.begun - set(own)))], np.uint64)
+        self.goes_on = np.array([False, False, *(p in self.begun for p in own), *([True] * (len(h) - len(self.pieces)))])
         self.hash = h
         self.first, self.second = np.zeros(1 << _BITS, np.int32), np.zeros(1 << _BITS, np.int32)
         for i in range(2, len(h)):
@@ -129,7 +136,7 @@ def words_of(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray
 def _forward(v: Vocabulary, codes: np.ndarray, p: np.ndarray, counts: np.ndarray | None = None, sums: np.ndarray | None = None) -> np.ndarray:
     """Log probabilities (words by languages) of words of one length; with counts, adds expected counts of pieces to sums."""
     w, n = codes.shape
-    kinds = p.shape[1]
+    kinds, known = p.shape[1], len(v.pieces)
     alpha = np.zeros((n + 1, w, kinds))
     alpha[0] = 1
     log = np.zeros((w, kinds))
@@ -139,19 +146,23 @@ def _forward(v: Vocabulary, codes: np.ndarray, p: np.ndarray, counts: np.ndarray
             by = alpha[i].copy()
             by[by <= 0] = 1
             log += np.log(by)
-            alpha[i : i + LONGEST] /= by
-        h = np.zeros(w, np.uint64)
-        for size in range(1, min(LONGEST, n - i) + 1):
-            h = h * _BASE + codes[:, i + size - 1]
+            alpha[i : i + v.longest] /= by
+        at, h = np.arange(w), np.zeros(w, np.uint64)
+        for size in range(1, min(v.longest, n - i) + 1):
+            h = h * _BASE + codes[at, i + size - 1]
             ids = v.find(h)
+            goes_on = v.goes_on[ids]
+            ids[ids >= known] = 0
             if size == 1:
                 ids[ids == 0] = 1
-            at = np.flatnonzero(ids)
-            if len(at):
-                ids = ids[at]
-                alpha[i + size, at] += alpha[i, at] * p[ids]
+            if len(hit := np.flatnonzero(ids)):
+                ids, own = ids[hit], at[hit]
+                alpha[i + size, own] += alpha[i, own] * p[ids]
                 if counts is not None:
-                    found.append((i, size, at, ids))
+                    found.append((i, size, own, ids))
+            at, h = at[goes_on], h[goes_on]
+            if not len(at):
+                break
     whole = np.maximum(alpha[n], 1e-300)
     if counts is not None:
         beta = np.zeros_like(alpha)
@@ -166,6 +177,61 @@ def _forward(v: Vocabulary, codes: np.ndarray, p: np.ndarray, counts: np.ndarray
     return np.log(whole) + log - n * np.log(_SCALE)
 
 
+def _single(v: Vocabulary, codes: np.ndarray, p: np.ndarray, counts: np.ndarray | None = None, sums: np.ndarray | None = None) -> np.ndarray:
+    """The same for one word (1 by letters) of any length, in time in proportion to it; sums are rescaled as they go."""
+    word = codes[0].tobytes().decode("utf-32-le", "surrogatepass")
+    n, kinds, number, begun = len(word), p.shape[1], v.number, v.begun
+    cuts = []  # for each place the pieces that start there: their sizes and numbers
+    for i in range(n):
+        own = [(1, number.get(word[i], 1))]
+        size = 1
+        while i + size < n and word[i : i + size] in begun:
+            size += 1
+            if k := number.get(word[i : i + size]):
+                own.append((size, k))
+        cuts.append(own)
+    out = np.zeros((1, kinds))
+    for lang in range(kinds):
+        own = p[:, lang].tolist()
+        ring, log, scales = [0.0] * (n + 1), 0.0, []
+        ring[0] = 1.0
+        for i, found in enumerate(cuts):
+            a = ring[i]
+            if i % 32 == 0 and i and a > 0:
+                log += np.log(a)
+                for k in range(i, min(n + 1, i + v.longest + 1)):
+                    ring[k] /= a
+                scales.append((i, a))
+                a = 1.0
+            for size, k in found:
+                ring[i + size] += a * own[k]
+        out[0, lang] = np.log(max(ring[n], 1e-300)) + log - n * np.log(_SCALE)
+        if counts is not None and counts[0, lang]:
+            by = dict(scales)
+            beta, many = [0.0] * (n + 1), counts[0, lang] / max(ring[n], 1e-300)
+            beta[n] = 1.0
+            # ring[i] is as left by the scales up to i; what follows is divided by the same scales when they are passed
+            for i in range(n - 1, -1, -1):
+                total = 0.0
+                for size, k in cuts[i]:
+                    step = own[k] * beta[i + size]
+                    total += step
+                    sums[k, lang] += ring[i] * step * many
+                beta[i] = total
+                if i in by:
+                    a = by[i]
+                    for k in range(i, min(n + 1, i + v.longest + 1)):
+                        beta[k] /= a
+    return out
+
+
+def _each(v: Vocabulary, group: np.ndarray, p: np.ndarray, counts: np.ndarray | None = None, sums: np.ndarray | None = None) -> np.ndarray:
+    """Log probabilities of a group of words of one length."""
+    long = group.shape[1] > LONG
+    step, one = (1, _single) if long else (WIDE, _forward)
+    return np.concatenate([one(v, group[a : a + step], p, None if counts is None else counts[a : a + step], sums) for a in range(0, len(group), step)])
+
+
 class Model:
     def __init__(self, path: str, langs: list[str], p: np.ndarray, prior: np.ndarray):
         self.path, self.langs, self.p, self.prior = path, langs, p, prior
@@ -174,7 +240,7 @@ class Model:
         """For each text the likeliest language, ``und`` without a letter, and its share of the probability (0 for ``und``)."""
         v = vocabulary(self.path)
         groups, number, first = words_of(texts)
-        logs = [_forward(v, g[a : a + WIDE], self.p) for g in groups for a in range(0, len(g), WIDE)]
+        logs = [_each(v, g, self.p) for g in groups]
         total = np.zeros((len(number) + 1, len(self.langs)))
         if logs:
             np.cumsum(np.concatenate(logs)[number], axis=0, out=total[1:])
@@ -201,11 +267,8 @@ def fit(texts: list[str], langs: list[str], path: str) -> Model:
     for _ in range(ROUNDS):
         sums, at = np.zeros_like(p), 0
         for g in groups:
-            for a in range(0, len(g), WIDE):
-                part = g[a : a + WIDE]
-                if part.shape[1] <= 60:  # longer words would only teach letters that run together
-                    _forward(v, part, p, counts[at : at + len(part)], sums)
-                at += len(part)
+            _each(v, g, p, counts[at : at + len(g)], sums)
+            at += len(g)
         sums[:2] = 0
         sums[2:] += PSEUDO
         p = sums / sums.sum(axis=0) * scale
@@ -219,29 +282,10 @@ def bucket(column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
-def sample(rows: DataFrame, most: int) -> DataFrame:
-    """At most ``most`` rows (doc_id, ...), by hashes of doc_id: of 4,096 ranges of hashes the first ones that fit, finer ranges where none
-    does. A pass counts ranges; nothing is sorted or gathered. Where there are more rows, those with a null id stay out."""
-    bits = 12
-    while True:
-        place = F.when(F.col("doc_id").isNotNull(), F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - bits))
-        counts = {r.p: r["count"] for r in rows.select(place.alias("p")).where("p is null or p < 4096").groupBy("p").count().collect()}  # 4,097 rows at most
-        if bits == 12 and sum(counts.values()) <= most:
-            return rows
-        left, taken = most, []
-        for p in sorted(p for p in counts if p is not None):
-            if counts[p] <= left:
-                left -= counts[p]
-                taken.append(p)
-        if taken or bits == 60:
-            return rows.where(place.isin(taken))
-        bits += 12
-
-
 def train(docs: DataFrame, path: str, most: int = TRAIN_DOCS) -> Model:
-    """Learns from text and lang of docs whose crc32(doc_id) mod 4 is not 2; at most ``most`` rows come to the driver."""
-    rows = docs.select("doc_id", "text", "lang").where((bucket() % 4 != 2) & F.col("lang").isNotNull())
-    got = [r for r in sample(rows, most).collect() if r.text is not None]
+    """Learns from text and lang of docs whose crc32(doc_id) mod 4 is not 2; at most ``most`` rows come to the driver, the same share of each
+    lang (fewer rows of a lang that has fewer), drawn by id and text."""
+    got = draw(docs.select("doc_id", "text", "lang").where(bucket() % 4 != 2), most, "lang")
     return fit([r.text for r in got], [r.lang for r in got], path)
 
 

@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import ship, steps, utf8
-from .language import bucket, sample
+from .language import bucket
+from .sampling import draw
 from .shingles import word_hashes, words
 
-#: Words of a passage, labelled rows learnt from at most (those with the smallest hashes of doc_id), and size of an encoding.
+#: Words of a passage, labelled rows learnt from at most (half of each label; their bytes: ``sampling.SAMPLE_BYTES``), and size of an encoding.
 PASSAGE, TRAIN_DOCS, HIDDEN = 64, 2000, 16
 #: Hashed words: places of the bag.
 BAG = 16
@@ -135,11 +136,11 @@ def fit(texts: list[str], labels: list[int]) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model:
-    """Learns from labels.quality of rows whose crc32(doc_id) mod 3 is not 1; at most ``most`` labelled rows come to the driver."""
-    own = labels.select("doc_id", "quality").where((bucket() % 3 != 1) & F.col("quality").isin(0, 1)).dropDuplicates(["doc_id"])
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample(own, most)), "doc_id").select("doc_id", "text", "quality").collect()  # at most `most` labels
-    rows.sort(key=lambda r: (r.doc_id, r.text or ""))
-    return fit([r.text or "" for r in rows], [r.quality for r in rows])
+    """Learns from labels.quality of rows whose crc32(doc_id) mod 3 is not 1; at most ``most`` rows come to the driver, drawn by id and text, so
+    an id that many rows of docs or labels share counts no more than others. Of an id with both labels, both count."""
+    own = labels.select("doc_id", "quality").where((bucket() % 3 != 1) & F.col("quality").isin(0, 1)).distinct()
+    rows = draw(docs.select("doc_id", "text").join(own, "doc_id"), most, "quality")
+    return fit([r.text for r in rows], [r._label for r in rows])
 
 
 def _scored(model):

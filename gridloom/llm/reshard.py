@@ -4,7 +4,8 @@ The flow runs from the old shards (their sizes in bytes) to the new ones (their
 nothing, one that moves costs one, so the cheapest flow moves the fewest bytes. The network has a node a shard and is solved on the
 driver by successive shortest paths. Each old shard, its documents sorted by falling size, is then cut into blocks as the flow says: the
 block that stays first, so that cuts fall among small documents. A cut is one key (size, id, checksum), so a row's new shard is an
-expression over the row, and only shards that lose or gain rows are written again.
+expression over the row. Where rows of equal keys stand on both sides of a cut, these rows alone are written down once and counted off, so
+any number of equal rows is parted as the flow says. Only shards that lose or gain rows are written again.
 """
 
 from __future__ import annotations
@@ -110,10 +111,12 @@ def _local(group: str, size: str):
 
 
 def running(df: DataFrame, group: str, order: list[str], size: str, scratch: Scratch) -> DataFrame:
-    """Adds to each row its rank in its group and the sum of sizes before it, both in the order given. No group is gathered: rows are
-    sorted by ranges, each range counts by itself, and the ranges' totals (a row for each range and group) give the rest."""
+    """Adds to each row its rank in its group and the sum of sizes before it, both in the order given, equal rows in any order. No group is
+    gathered: rows are sorted by ranges, each range counts by itself, and the ranges' totals (a row for each range and group) give the
+    rest. A row number, given where a row is read, is the last key, so that a range never has to hold all equal rows."""
     more = [T.StructField("part", T.IntegerType()), T.StructField("rank", T.LongType()), T.StructField("before", T.LongType())]
-    local = df.repartitionByRange(group, *order).sortWithinPartitions(group, *order).mapInArrow(_local(group, size), T.StructType([*df.schema.fields, *more]))
+    apart = df.withColumn("apart", F.monotonically_increasing_id())
+    local = apart.repartitionByRange(group, *order, "apart").sortWithinPartitions(group, *order, "apart").drop("apart").mapInArrow(_local(group, size), T.StructType([*df.schema.fields, *more]))
     local = scratch.save(local, "ranks")
     totals = local.groupBy("part", group).agg(F.count("*").alias("n"), F.sum(size).alias("s"))
     ahead = Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -134,7 +137,7 @@ def _key(size, doc_id, crc) -> Column:
 def assign(docs: DataFrame, old_shard: Column, capacities: list[int] | int, scratch: Scratch) -> tuple[DataFrame, dict[int, list[tuple[int, int]]]]:
     """docs (doc_id, text, ...) with size, text_crc32, old_shard and shard (its new one), and the plan. capacities: bytes of each new
     shard, or a number of shards of even size. Columns of docs with these names are replaced. A null text has size 1; rows with a null
-    doc_id sort first among their size; equal rows are told apart by nothing and stay together. Without rows there is no plan."""
+    doc_id sort first among their size; equal rows go to as many shards as the flow says. Without rows there is no plan."""
     ship(docs.sparkSession)
     docs = measured(docs).withColumn("old_shard", old_shard.cast("int"))
     rows = scratch.save(docs.select(F.col("old_shard"), (-F.col("size")).alias("neg"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), "text_crc32", "size"), "sizes")
@@ -154,18 +157,54 @@ def assign(docs: DataFrame, old_shard: Column, capacities: list[int] | int, scra
         for j, to in reversed(ends[:-1]):
             own = F.when(middle < to, j).otherwise(own)
         target = F.when(F.col("old_shard") == i, own).otherwise(target)
-    cuts = at.withColumn("shard", target).groupBy("old_shard", "shard").agg(F.min(F.struct("neg", "id", "text_crc32")).alias("k")).collect()  # shards by shards at most
+    placed = at.withColumn("shard", target)
+    cuts = placed.groupBy("old_shard", "shard").agg(F.min(F.struct("neg", "id", "text_crc32")).alias("k")).collect()  # shards by shards at most
     key = _key(F.col("size"), F.col("doc_id").cast("long"), F.col("text_crc32"))
-    shard = F.lit(None).cast("int")
+    literal = lambda k: F.struct(F.lit(k.neg).cast("long").alias("s"), F.lit(k.id).cast("long").alias("d"), F.lit(k.text_crc32).cast("long").alias("c"))
+    shard, same = F.lit(None).cast("int"), F.lit(False)
     for i in sizes:
         first = {r.shard: r.k for r in cuts if r.old_shard == i}
         parts = [j for j, _ in blocks[i] if j in first]
         own = F.lit(parts[0])
         for j in parts[1:]:
-            k = first[j]
-            own = F.when(key >= F.struct(F.lit(k.neg).cast("long").alias("s"), F.lit(k.id).cast("long").alias("d"), F.lit(k.text_crc32).cast("long").alias("c")), j).otherwise(own)
+            own = F.when(key >= literal(first[j]), j).otherwise(own)
+            same = same | ((F.col("old_shard") == i) & (F.struct(F.col("neg").alias("s"), F.col("id").alias("d"), F.col("text_crc32").alias("c")) == literal(first[j])))
         shard = F.when(F.col("old_shard") == i, own).otherwise(shard)
-    return docs.withColumn("shard", shard.cast("int")), blocks
+    ties: dict[tuple, dict[int, int]] = {}
+    for r in placed.where(same).groupBy("old_shard", "neg", "id", "text_crc32", "shard").count().collect():  # cuts by shards at most
+        ties.setdefault((r.old_shard, r.neg, r.id, r.text_crc32), {})[r.shard] = r["count"]
+    ties = {k: v for k, v in ties.items() if len(v) > 1}
+    out = docs.withColumn("shard", shard.cast("int"))
+    return (_parted(out, ties, blocks, scratch) if ties else out), blocks
+
+
+def _parted(docs: DataFrame, ties: dict[tuple, dict[int, int]], blocks: dict, scratch: Scratch) -> DataFrame:
+    """docs with the rows of equal keys that stand on both sides of a cut counted off: for each key how many rows which shard has.
+
+    These rows are written down with a number that tells the task that wrote them and the place there, so counting is by task, and tasks'
+    totals (a row for each task and key) say how many come before.
+    """
+    number, share = F.lit(None).cast("int"), F.lit(None).cast("int")
+    for t, ((i, neg, doc, crc), counts) in enumerate(ties.items()):
+        own = (F.col("old_shard") == i) & (F.col("size") == -neg) & (F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))) == doc) & (F.col("text_crc32") == crc)
+        number = F.when(own, t).otherwise(number)
+        order = [j for j, _ in blocks[i] if j in counts]
+        to, ends = 0, []
+        for j in order:
+            to += counts[j]
+            ends.append((j, to))
+        place = F.lit(order[-1])
+        for j, end in reversed(ends[:-1]):
+            place = F.when(F.col("_place") < end, j).otherwise(place)
+        share = F.when(F.col("_tie") == t, place).otherwise(share)
+    numbered = docs.withColumn("_tie", number)
+    tied = scratch.save(numbered.where("_tie is not null").withColumn("_row", F.monotonically_increasing_id()), "ties").withColumn("_task", F.shiftright("_row", 33))
+    totals = tied.groupBy("_tie", "_task").count()
+    ahead = Window.partitionBy("_tie").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("_tie", "_task", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("_ahead"))
+    own = F.row_number().over(Window.partitionBy("_tie", "_task").orderBy("_row")) - 1
+    tied = tied.withColumn("_place", own).join(totals, ["_tie", "_task"]).withColumn("_place", F.col("_place") + F.col("_ahead")).withColumn("shard", share.cast("int"))
+    return numbered.where("_tie is null").drop("_tie").unionByName(tied.select(*docs.columns))
 
 
 def affected(blocks: dict[int, list[tuple[int, int]]], shards: int) -> list[int]:
