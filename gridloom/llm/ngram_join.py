@@ -45,8 +45,9 @@ DEPTH = 4
 ROUNDS = 1
 #: Most frequent shingles whose frequency the column order knows.
 RANKED = 1 << 17
-#: Bits of the filter by which the second reading of the texts finds rows that have a candidate; a false hit only costs.
-FILTER_BITS = 1 << 24
+#: Bits of the filters by which the second reading of the texts finds rows that have a candidate, at least and at most (64 MB); a false hit only
+#: costs. Between, there are 16 bits a candidate.
+FILTER_BITS, MOST_FILTER_BITS = 1 << 24, 1 << 29
 #: Shingles that are counted together when a task looks for frequent ones.
 COUNTED = 1 << 21
 
@@ -59,6 +60,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _print(s: np.ndarray) -> tuple[int, int]:
+    """Two prints of a set, 64 bits each. The first names it, unless ``_classes`` finds that another set has it too; then the second does."""
     d = xxhash.xxh3_128(s.tobytes()).digest()
     return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
 
@@ -94,7 +96,28 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield frequent()
 
 
-def _prefixes(ranked):
+def _name(prints: tuple[int, int], clashes: frozenset[int]) -> int:
+    return prints[1] if prints[0] in clashes else prints[0]
+
+
+def _classes(sets: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, frozenset[int]]:
+    """sets (doc_id, fp, n) under their names; classes (fp, n, rep: the smallest id) of those that can link; and the first prints that different
+    sets share: as good as none among 10^8 sets, a handful among 10^10."""
+
+    def grouped(sets: DataFrame) -> DataFrame:
+        own = F.struct("fp2", "n")
+        some = sets.where("n > 0 and doc_id is not null").groupBy("fp")
+        return scratch.save(some.agg(F.min("n").alias("n"), F.min("doc_id").alias("rep"), F.min(own).alias("a"), F.max(own).alias("b")), "classes")
+
+    out = grouped(sets)
+    clashes = frozenset(r.fp for r in out.where("a <> b").select("fp").collect())
+    if clashes:
+        sets = sets.withColumn("fp", F.when(F.col("fp").isin(*clashes), F.col("fp2")).otherwise(F.col("fp")))
+        out = grouped(sets)
+    return sets.drop("fp2"), out.select("fp", "n", "rep"), clashes
+
+
+def _prefixes(ranked, clashes: frozenset[int]):
     """Rows of the incidence's prefix, once for each distinct set of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +126,7 @@ def _prefixes(ranked):
         for b in steps(batches, "text"):
             out = []
             for s in shingle_sets(*utf8(b.column(0))):
-                if not len(s) or (fp := _print(s)[0]) in seen:
+                if not len(s) or (fp := _name(_print(s), clashes)) in seen:
                     continue
                 seen.add(fp)
                 size = len(s)
@@ -305,19 +328,19 @@ def _most(x: bytes, y: bytes, n1: int, n2: int) -> int:
     return int(np.minimum(x, y).sum())
 
 
-def _wanted(bits, of_ids):
+def _wanted(bits, of_ids, clashes: frozenset[int]):
     """Sets, and their folded columns, of documents whose fingerprint and id pass the filters: the first document of each class, and few others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prints, ids = (np.frombuffer(x.value, np.uint8) for x in (bits, of_ids))
         seen: set[int] = set()
-        on = lambda field, k: field[(k := k & (FILTER_BITS - 1)) >> 3] >> (k & 7) & 1
+        on = lambda field, k: field[(k := k & (8 * len(field) - 1)) >> 3] >> (k & 7) & 1
         for b in steps(batches, "text"):
             own = np.array(b.column(0).to_numpy(zero_copy_only=False))
             b = b.filter(pa.array(np.fromiter((bool(on(ids, k)) for k in own.tolist()), bool, len(own))))
             out = []
             for s in shingle_sets(*utf8(b.column(1))):
-                if len(s) and (fp := _print(s)[0]) not in seen and on(prints, fp):
+                if len(s) and (fp := _name(_print(s), clashes)) not in seen and on(prints, fp):
                     seen.add(fp)
                     out.append((fp, len(s), _fold(s), s.tobytes()))
             if out:
@@ -347,31 +370,32 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     trim()
 
 
-def _bitmaps(keys: DataFrame, columns: list[str]) -> list[bytes]:
-    """A filter of FILTER_BITS bits over each long column: as many bytes for any input."""
-    each = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), (F.col(c).bitwiseAND(F.lit(FILTER_BITS - 1)) + 1).alias("k")) for i, c in enumerate(columns)))).alias("e")
-    rows = keys.select(each).select("e.*").groupBy("i", F.expr("bitmap_bucket_number(k)").alias("g")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(k))").alias("m")).collect()
-    out = np.zeros((len(columns), FILTER_BITS // 8), np.uint8)
-    for r in rows:
+def _bitmaps(keys: DataFrame, columns: list[str], many: int) -> list[bytes]:
+    """A filter over each long column of ``many`` rows: as many bits as they ask for, within fixed bounds."""
+    bits = min(max(FILTER_BITS, 1 << (16 * many).bit_length()), MOST_FILTER_BITS)
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), (F.col(c).bitwiseAND(F.lit(bits - 1)) + 1).alias("k")) for i, c in enumerate(columns)))).alias("e")
+    rows = keys.select(each).select("e.*").groupBy("i", F.expr("bitmap_bucket_number(k)").alias("g")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(k))").alias("m"))
+    out = np.zeros((len(columns), bits // 8), np.uint8)
+    for r in rows.toLocalIterator():
         out[r.i, (r.g - 1) * 4096 : r.g * 4096] = np.frombuffer(r.m, np.uint8)
     return [x.tobytes() for x in out]
 
 
-def _linked(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Rows that have an id and a shingle: doc_id, fp and n_shingles of their set, comp, component_id; and the other rows."""
+def _linked(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, frozenset[int]]:
+    """Rows that have an id and a shingle: doc_id, fp and n_shingles of their set, comp, component_id; the other rows; and the prints that clash."""
     spark = docs.sparkSession
     ship(spark)
     sc = spark.sparkContext
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     seen = scratch.save(read.mapInArrow(_fingerprints, _SETS), "prints")
     sets = seen.where("kind = 0").select(F.col("x").alias("doc_id"), "fp", "fp2", "n")
-    classes = scratch.save(sets.where("n > 0 and doc_id is not null").groupBy("fp", "n").agg(F.min("doc_id").alias("rep")), "classes")
+    sets, classes, clashes = _classes(sets, scratch)
     top = _most_frequent(scratch.save(seen.where("kind = 1").groupBy("x").agg(F.sum("n").alias("n")), "frequent"))
     keys = np.array([r.x for r in top], np.int64).view(np.uint64)
     order = np.argsort(keys)
     ranked = sc.broadcast((keys[order], np.array([int(r.n).bit_length() for r in top], np.int16)[order]))
     texts = read.where("doc_id is not null").select("text")
-    rows = texts.mapInArrow(_prefixes(ranked), _ROWS)
+    rows = texts.mapInArrow(_prefixes(ranked, clashes), _ROWS)
     shared = scratch.save(rows.repartition("h").sortWithinPartitions("h", "n", "fp").mapInArrow(_shared, _ROWS + ", blk int"), "shared")
     del rows
     scratch.release()
@@ -382,12 +406,12 @@ def _linked(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
 
     def linked(pairs: DataFrame) -> DataFrame:
         """The pairs that link. The texts are read again for the sets of documents in a pair alone."""
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(classes, "fp")
-        bits, of_ids = map(sc.broadcast, _bitmaps(ends, ["fp", "rep"]))
-        whole = scratch.save(read.where("doc_id is not null").mapInArrow(_wanted(bits, of_ids), "fp long, n int, f binary, s binary"), "sets")
+        ends = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(classes, "fp").select("fp", "rep"), "ends")
+        bits, of_ids = map(sc.broadcast, _bitmaps(ends, ["fp", "rep"], ends.count()))
+        whole = scratch.save(read.where("doc_id is not null").mapInArrow(_wanted(bits, of_ids, clashes), "fp long, n int, f binary, s binary"), "sets")
         left = scratch.save(_matched(pairs, whole, ["n", "f"]).mapInArrow(_possible, "a long, b long").distinct(), "possible")
         out = scratch.save(_matched(left, whole, ["s"]).mapInArrow(_overlaps, "a long, b long"), "links")
-        scratch.drop(whole, left)
+        scratch.drop(whole, left, ends)
         return out
 
     links = linked(tried)
@@ -423,7 +447,7 @@ def _linked(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     ids = named.join(least, "comp").select("fp", "n", "comp", "component_id")
     linked = sets.where("n > 0 and doc_id is not null").join(ids, ["fp", "n"]).select("doc_id", "fp", F.col("n").alias("n_shingles"), "comp", "component_id")
     alone = sets.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return linked, alone
+    return linked, alone, clashes
 
 
 def ngram_jaccard_components(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -433,7 +457,7 @@ def ngram_jaccard_components(docs: DataFrame, scratch: Scratch | None = None) ->
     a text of under five words is one shingle. Equal sets always link. Rows with a null doc_id are returned with a null component and
     link with nothing. Rows are what links, so rows with one id but different texts may be in different components. Other columns are not read.
     """
-    linked, alone = _linked(docs, scratch or Scratch(docs.sparkSession))
+    linked, alone, _ = _linked(docs, scratch or Scratch(docs.sparkSession))
     return linked.select("doc_id", "n_shingles", "component_id").unionAll(alone)
 
 
@@ -454,17 +478,20 @@ def _matched(pairs: DataFrame, whole: DataFrame, columns: list[str]) -> DataFram
     return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", *(c + k for c in columns for k in "ab"))
 
 
-def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in steps(batches, "_text"):
-        sets = shingle_sets(*utf8(b.column(b.schema.get_field_index("_text"))))
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array([_print(s)[0] for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], [*b.schema.names, "_fp", "_n"])
+def _printed(clashes: frozenset[int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in steps(batches, "_text"):
+            sets = shingle_sets(*utf8(b.column(b.schema.get_field_index("_text"))))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([_name(_print(s), clashes) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], [*b.schema.names, "_fp", "_n"])
+
+    return run
 
 
 def ngram_jaccard_keep(docs: DataFrame) -> DataFrame:
     """The rows of docs without near copies: of each component a row with its smallest id stays, whole and with all columns. Rows of one id
     go only if their texts are equal or linked. Rows with a null id stay."""
     scratch = Scratch(docs.sparkSession)
-    linked, alone = _linked(docs, scratch)
+    linked, alone, clashes = _linked(docs, scratch)
     found = linked.select("doc_id", (F.col("doc_id") == F.col("component_id")).alias("own")).unionAll(alone.where("doc_id is not null").select("doc_id", F.lit(True).alias("own")))
     ids = scratch.save(found.groupBy("doc_id").agg(F.count("*").alias("m"), F.max("own").alias("own")), "ids")
     kept = docs.join(ids.where("m = 1 and own").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
@@ -473,7 +500,7 @@ def ngram_jaccard_keep(docs: DataFrame) -> DataFrame:
         first = linked.where("doc_id = component_id").join(many, "doc_id", "left_semi").groupBy("comp").agg(F.min(F.struct("doc_id", "fp", "n_shingles")).alias("k"))
         first = first.select(F.col("k.doc_id").alias("_id"), F.col("k.fp").alias("_fp"), F.col("k.n_shingles").cast("long").alias("_n"))
         rows = docs.join(many, "doc_id", "left_semi").select(*docs.columns, F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text"))
-        rows = rows.mapInArrow(_printed, T.StructType([*rows.schema.fields, T.StructField("_fp", T.LongType()), T.StructField("_n", T.LongType())]))
+        rows = rows.mapInArrow(_printed(clashes), T.StructType([*rows.schema.fields, T.StructField("_fp", T.LongType()), T.StructField("_n", T.LongType())]))
         sets = rows.where("_n > 0").join(first, ["_id", "_fp", "_n"], "left_semi").dropDuplicates(["_id", "_fp", "_n"])
         empty = rows.where("_n = 0").dropDuplicates(["_id", "_text"])
         kept = kept.unionByName(sets.select(*docs.columns)).unionByName(empty.select(*docs.columns))

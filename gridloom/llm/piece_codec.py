@@ -182,6 +182,6 @@ def encode_pieces(df: DataFrame, path: str, text: str = "text", decoded: bool =
     return df.mapInArrow(_coded(path, text, decoded), T.StructType([*df.schema.fields, *more]))
 
 
-def digests(df: DataFrame) -> DataFrame:
-    """doc_id with the length and digests of the coded columns."""
-    return df.select("doc_id", F.expr("cast(length(piece_ids) div 4 as bigint)").alias("n_tokens"), F.sha2("piece_ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), F.crc32(F.concat("piece_starts", "piece_ends")).alias("spans_crc32"))
+def digests(df: DataFrame, *more: str) -> DataFrame:
+    """doc_id, more columns as they are, and the length and digests of the coded columns."""
+    return df.select("doc_id", *more, F.expr("cast(length(piece_ids) div 4 as bigint)").alias("n_tokens"), F.sha2("piece_ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), F.crc32(F.concat("piece_starts", "piece_ends")).alias("spans_crc32"))

@@ -1,6 +1,7 @@
 """Token ids in ORC: stripes with integer run-length encoding, row indexes and Bloom filters on document ids.
 
-Documents are dealt by ranges of doc_id, sorted, tokenised and written, one file a range, so files and rows follow the ids. A row has its
+Documents are dealt by ranges of doc_id (rows of one id by their number in the scan, so no range has to hold them all), sorted, tokenised and
+written, one file a range, so files and rows follow the ids. A row has its
 range's number and the ids that its range holds before it; the ranges' totals (one row a file) turn that into a place in the whole
 stream. Readers split files by stripe, and a lookup by doc_id skips stripes and row groups by their minima, maxima and Bloom filters.
 """
@@ -144,11 +145,13 @@ def _tokenised(path: str, end: int):
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = 2) -> None:
     """Writes docs (doc_id, text, ...) as ORC below path, in ascending doc_id order.
 
-    A null text is empty and has the end id alone; null ids come first; repeated rows are all written. Other columns are not read.
+    A null text is empty and has the end id alone; null ids come first; repeated rows are all written. Rows of one id stand in the order in
+    which the table is read, which the same files and settings repeat. Other columns are not read.
     """
     ship(docs.sparkSession)
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = read.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(_tokenised(tokenizer, end), _ROWS)
+    read = read.withColumn("at", F.monotonically_increasing_id())
+    rows = read.repartitionByRange("doc_id", "at").sortWithinPartitions("doc_id", "at").select("doc_id", "text").mapInArrow(_tokenised(tokenizer, end), _ROWS)
     rows.write.options(**OPTIONS).orc(path)
 
 

@@ -3,6 +3,7 @@
 import collections
 
 import corpus_pipeline
+import numpy as np
 from gridloom.llm import containment, pii
 
 from test_texts import brute_components
@@ -29,6 +30,28 @@ def test_stages(spark):
     for r in four.collect():
         assert not pii.rule_spans(r.text) and r.n_chars == len(r.text)
     last = corpus_pipeline.pieces(spark, four, SF)
-    assert last.count() == four.count()
+    texts = {r.doc_id: r.text for r in four.collect()}
+    assert last.count() == len(texts)
+    for r in last.collect():
+        raw = texts[r.doc_id].encode()
+        a, b = np.frombuffer(r.piece_starts, "<u4"), np.frombuffer(r.piece_ends, "<u4")
+        assert len(r.piece_ids) == 4 * r.n_tokens == 4 * len(a) and b"".join(raw[x:y] for x, y in zip(a, b)) == raw
     run = corpus_pipeline.run(spark, SF)
     assert collections.Counter(map(tuple, run.collect())) == collections.Counter(map(tuple, last.collect()))
+
+
+def test_stages_on_hard_rows(spark):
+    """Null, empty and repeated rows through every stage; an empty table."""
+    text = " ".join(f"the people of nation{i} are here" for i in range(12))
+    rows = [(1, text, "en", "s", 5), (1, text, "en", "s", 5), (2, None, None, None, None), (3, "", "en", None, 0), (None, text + " more", "en", "s", 9), (4, "12 34", "en", "s", 5), (5, "write to a.b@c.de", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    one = corpus_pipeline.language_id(spark, docs, SF)
+    assert sorted(r.doc_id or 0 for r in one.collect()) == [0, 1, 1, 5] or sorted(r.doc_id or 0 for r in one.collect()) == []
+    two = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert sorted(r.doc_id or 0 for r in two.collect()) == [0, 1, 2, 3, 4, 5]
+    assert corpus_pipeline.decontamination(spark, docs, SF).count() == len(rows)
+    four = corpus_pipeline.personal_data(spark, docs, SF)
+    assert four.count() == len(rows) and {r.doc_id: (r.text, r.n_chars) for r in four.collect()}[5] == ("write to [EMAIL]", 16)
+    assert corpus_pipeline.pieces(spark, docs, SF).count() == len(rows)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0

@@ -210,7 +210,7 @@ def test_forward_sums_all_segmentations():
         if not word:
             return np.ones(2)
         out = np.zeros(2)
-        for k in range(1, min(language.LONGEST, len(word)) + 1):
+        for k in range(1, len(word) + 1):
             i = number.get(word[:k], 1 if k == 1 else 0)
             if i:
                 out = out + p[i] * brute(word[k:])
@@ -286,20 +286,6 @@ def test_pii_rules_and_network(spark, documents):
     assert pii.find(frame(spark, made), None).count() == len(made)
 
 
-def test_pii_network_finds_most_by_itself(documents):
-    rows = [x.text for x in documents.where("text rlike '[0-9@]'").select("text").collect()]
-    cut = len(rows) // 4
-    net = pii.fit(rows[cut:], [pii.rule_spans(t) for t in rows[cut:]])
-    hit = whole = 0
-    for t in rows[:cut]:
-        c = pii.codes_of(t)
-        starts = pii.window_starts(c)
-        tags, sure = net.decode(pii.cut(c, starts))
-        own = {s[:3] for k in range(len(starts)) for s in pii.candidates(tags[k], sure[k], int(starts[k]), len(c))}
-        hit, whole = hit + sum(s in own for s in pii.rule_spans(t)), whole + len(pii.rule_spans(t))
-    assert whole and hit > 0.3 * whole
-
-
 def test_pii_gradients():
     net = pii.Tagger({k: v.astype(np.float64) for k, v in pii.Tagger.fresh().w.items()})
     codes = np.array([[65, 49, 64, 50, 32], [49, 49, 32, 66, 46]], np.uint8)
