@@ -14,30 +14,35 @@ LEAST_SHARE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or of no clear language, go."""
+    """Documents without a letter (null and empty texts among them), or of no clear language, go. Repeated rows go or stay together; columns
+    lang_pred and lang_score of docs would be replaced, others stay."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     found = language.identify(docs, language.train(docs, PIECES))
     return found.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_SHARE)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
+    """Of each group of near copies the document with the smallest id stays, of equal rows one; null and empty texts stay, and rows with a
+    null id."""
     return ngram_join.ngram_jaccard_keep(docs).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold three quarters of a benchmark item go."""
+    """Documents that hold three quarters of a benchmark item go; null and empty texts hold nothing and stay, as do all rows where the
+    benchmark is empty."""
     return containment.without_items(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind; n_chars is counted anew."""
+    """Personal data and secrets are replaced by their kind; n_chars is counted anew. A null text stays null; every row stays."""
     return pii.masked(docs, pii.train(docs)).select(*docs.columns)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids, byte spans and digests of every document's pieces."""
-    return piece_codec.digests(piece_codec.encode_pieces(docs, PIECES))
+    """doc_id, the ids of every document's pieces, their byte spans, and the digests of ids and decoded text. A null text is empty; repeated
+    rows are all encoded."""
+    coded = piece_codec.encode_pieces(docs, PIECES)
+    return piece_codec.digests(coded, "piece_ids", "piece_starts", "piece_ends")
 
 
 STAGES = [("language ID", language_id), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", decontamination), ("PII", personal_data), ("SentencePiece encoding and decoding", pieces)]
