@@ -5,6 +5,7 @@ import itertools
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from gridloom.llm import ann, reshard
@@ -40,10 +41,54 @@ def test_nearest_hard_rows(spark):
 
 
 def test_nearest_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(ann, "QUERIES", 3)
+    """Small parts of buckets and small exact passes give the same rows."""
     vectors = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
-    got = ann.nearest(vectors, vectors.where("vec_id % 50 = 0"))
-    assert got.select("query_id").distinct().count() == 10 and got.count() == 100
+    rows = lambda: sorted(map(tuple, ann.nearest(vectors, vectors.where("vec_id % 50 = 0")).collect()))
+    want = rows()
+    assert len(want) == 100 and len({r[0] for r in want}) == 10
+    monkeypatch.setattr(ann, "QUERIES", 3)
+    monkeypatch.setattr(ann, "ROWS", 5)
+    monkeypatch.setattr(ann, "HELD", 40)
+    assert rows() == want
+    monkeypatch.setattr(ann, "QUERY_BYTES", 0)
+    assert rows() == want
+
+
+def test_nearest_among_copies(spark):
+    """A third of all rows are copies of one vector, with ids and without order."""
+    r = np.random.default_rng(2)
+    x = np.round(r.normal(size=(600, 6)), 3)
+    x[::3] = x[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = collections.defaultdict(list)
+    for row in ann.nearest(df, df.where("vec_id % 100 = 0")).orderBy("query_id", "rank").collect():
+        got[row.query_id].append(row.vec_id)
+    copies = list(range(0, 600, 3))
+    assert got[0] == copies[1:11] and got[300] == copies[:10] and all(len(v) == 10 for v in got.values())
+
+
+@pytest.mark.parametrize("spread", [0.0, 0.15])
+def test_probes_visit_part_of_the_table(spread):
+    """How much of the table the probes visit, and the recall: of vectors without structure, where most must be visited, and of clusters."""
+    r = np.random.default_rng(1)
+    x = r.normal(size=(12_000, 64))
+    if spread:
+        x = x[r.integers(0, 150, len(x))] + spread * r.normal(size=x.shape)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = np.sqrt(np.maximum(2 - 2 * x[:512] @ x[:512].T, 0))
+    np.fill_diagonal(near, np.inf)
+    hashes = ann.Hashes(64, ann.CELL * float(np.quantile(near.min(1), 0.9)))
+    q = x[::200]
+    d = 2 - 2 * q @ x.T
+    d[np.arange(len(q)), np.arange(0, len(x), 200)] = np.inf
+    top = np.argsort(d, 1)[:, : ann.K]
+    hit = np.zeros(d.shape, bool)
+    for t in range(ann.TABLES):
+        own, probes = hashes.buckets(x, t), hashes.probes(q, t)
+        for i in range(len(q)):
+            hit[i] |= np.isin(own, probes[i])
+    recall, share = np.take_along_axis(hit, top, 1).mean(), hit.mean()
+    assert recall >= 0.9 and share <= (0.1 if spread else 0.8), (recall, share)
 
 
 def brute_moves(supply, capacity):
