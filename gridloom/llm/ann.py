@@ -2,7 +2,7 @@
 
 A table hashes a vector by ``WIDTH`` quantised random projections (normal, hence 2-stable), floor((a . x + b) / w); w is set from a
 bounded sample of distances. A query visits its own bucket and perturbed ones, which move some of the projections to the next cell, in
-the order of their estimated chance of success (the perturbation score of the distances to the cells' borders).
+the order of their estimated chance of success (the expected squared distance to the borders that they cross).
 
 Vectors and probes are each hashed once and dealt by (table, bucket), where they meet: a bucket's vectors are compared only with the
 queries that visit it. The candidates of all tables are merged by the exact double-precision distances of the original vectors. A bucket
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -59,34 +60,34 @@ class Hashes:
         return (np.floor(self.project(x, t)).astype(np.int64) * self.key[t]).sum(1)
 
     def probes(self, q: np.ndarray, t: int) -> np.ndarray:
-        """Buckets of a table that each query visits, best first."""
+        """Buckets of a table that each query visits, its own first, then by the estimated chance of success of their moves."""
         p = self.project(q, t)
         cell = np.floor(p)
-        out = np.empty((len(q), PROBES), np.int64)
-        for i in range(len(q)):
-            inner = p[i] - cell[i]
-            cost = np.concatenate((inner**2, (1 - inner) ** 2))
-            step = np.concatenate((-self.key[t], self.key[t]))
-            order = np.argsort(cost)
-            out[i] = (cell[i].astype(np.int64) * self.key[t]).sum()
-            for k, chosen in enumerate(self._sets(cost[order], order)):
-                out[i, k + 1 : k + 2] += step[chosen].sum()
-        return out
-
-    @staticmethod
-    def _sets(cost: np.ndarray, order: np.ndarray) -> Iterator[list[int]]:
-        """Sets of moves by rising total cost: a set is followed by the one whose last move is replaced by the next, and by the one that adds it."""
-        heap, given = [(float(cost[0]), (0,))], 0
-        while heap and given < PROBES - 1:
-            total, own = heapq.heappop(heap)
-            last = own[-1]
-            if last + 1 < len(cost):
-                heapq.heappush(heap, (total - cost[last] + cost[last + 1], (*own[:-1], last + 1)))
-                heapq.heappush(heap, (total + cost[last + 1], (*own, last + 1)))
-            chosen = order[list(own)]
-            if len(set((chosen % WIDTH).tolist())) == len(chosen):  # no projection moves both ways
-                given += 1
-                yield chosen.tolist()
+        inner = p - cell
+        order = np.argsort(np.concatenate((inner, 1 - inner), axis=1), axis=1, kind="stable")
+        step = np.concatenate((-self.key[t], self.key[t]))[order]
+        own = (cell.astype(np.int64) * self.key[t]).sum(1)
+        return np.concatenate((own[:, None], own[:, None] + step @ _moves().T), axis=1)
+
+
+@cache
+def _moves() -> np.ndarray:
+    """The sets of moves, as rows of 0 and 1 over a query's moves from the nearest border to the farthest, by rising expected squared distance.
+    The k-th nearest border of WIDTH cells is opposite the k-th farthest, and no set has both. A set is followed by the one whose last move
+    is replaced by the next, and by the one that adds it."""
+    w = WIDTH
+    near = lambda k: k * (k + 1) / (4 * (w + 1) * (w + 2))
+    cost = [near(k) if k <= w else 1 - (2 * w + 1 - k) / (w + 1) + near(2 * w + 1 - k) for k in range(1, 2 * w + 1)]
+    heap, out = [(cost[0], (0,))], []
+    while heap and len(out) < PROBES - 1:
+        total, own = heapq.heappop(heap)
+        last = own[-1]
+        if last + 1 < 2 * w:
+            heapq.heappush(heap, (total - cost[last] + cost[last + 1], (*own[:-1], last + 1)))
+            heapq.heappush(heap, (total + cost[last + 1], (*own, last + 1)))
+        if not any(2 * w - 1 - k in own for k in own):
+            out.append([int(k in own) for k in range(2 * w)])
+    return np.array(out, np.int64).reshape(-1, 2 * w)
 
 
 def _vectors(b: pa.RecordBatch) -> np.ndarray:
