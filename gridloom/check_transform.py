@@ -6,44 +6,37 @@ Runs a chunk transform on one chunk and compares what it gives with what it decl
 from __future__ import annotations
 
 import argparse
-import importlib
-import importlib.util
+import pkgutil
+import runpy
 import sys
 import time
 
 import numpy as np
 
 from .operators.transforms import checked, output_geometry
-from .sources.ztensor import _read, filesystem, layouts
+from .plans.geometry import Geometry
+from .sources.stores import filesystem, read_whole
+from .sources.ztensor import layouts, whole_chunk
 
 
 def load(target: str):
+    """What MODULE:ATTR or FILE.py:ATTR names; of a class, an object."""
     where, _, attr = target.rpartition(":")
-    if not where or not attr:
-        raise ValueError(f"{target!r} is not MODULE:ATTR or FILE.py:ATTR")
-    if where.endswith(".py"):
-        spec = importlib.util.spec_from_file_location("transform_under_test", where)
-        module = importlib.util.module_from_spec(spec)
-        spec.loader.exec_module(module)
-    else:
-        module = importlib.import_module(where)
-    found = getattr(module, attr)
-    return found() if isinstance(found, type) else found
+    found = runpy.run_path(where)[attr] if where.endswith(".py") else pkgutil.resolve_name(target)
+    if isinstance(found, type):
+        found = found()
+    if not callable(found):
+        raise TypeError(f"{target} cannot be called")
+    return found
 
 
-def read_chunk(url: str, variable: str, chunk: int, sample_axis: int = 0) -> tuple[np.ndarray, object]:
+def read_chunk(url: str, variable: str, chunk: int, sample_axis: int = 0) -> tuple[np.ndarray, Geometry]:
     layout = layouts(url, [variable], sample_axis)[variable]
     g = layout.geometry
-    if not 0 <= chunk < g.n_chunks:
+    if chunk not in range(g.n_chunks):
         raise IndexError(f"{variable} has {g.n_chunks} chunks")
     fs, top = filesystem(url)
-    slot = np.full(g.slot_shape(chunk), layout.fill, g.dtype)
-    for inner in g.inner_coords():
-        raw = _read(fs, f"{top}/{variable}/{layout.key(g.physical_coord(chunk, inner))}")
-        if raw is not None:
-            to, part = g.tile_placement(chunk, inner)
-            slot[to] = np.moveaxis(layout.decode(raw), g.sample_axis, 0)[part]
-    return slot, g
+    return whole_chunk(layout, chunk, lambda key: read_whole(fs, f"{top}/{variable}/{key}")), g
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -63,7 +56,7 @@ def main(argv: list[str] | None = None) -> int:
     try:
         declared = output_geometry(g, [transform])
         began = time.perf_counter()
-        out = transform(a.var, values.copy(), g.samples_in_chunk(a.chunk).start)
+        out = transform(a.var, values.copy(), g.samples(a.chunk).start)
         took = time.perf_counter() - began
         if len(out) != len(values):
             raise ValueError(f"it gave {len(out)} samples of {len(values)}")

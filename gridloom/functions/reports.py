@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .metrics import best_of_medians, median_iqr, steady_mean
-
 
 def append_rows(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
@@ -18,10 +16,10 @@ def load_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return df.select("config.*", *[c for c in df.columns if c != "config"]) if "config" in df.columns else df
 
 
-def throughput(batches: DataFrame, seconds: float, bytes_per_row: int) -> DataFrame:
-    """samples, samples_per_s, mb_per_s of one measured pass."""
+def throughput(batches: DataFrame, seconds: float, bytes_per_row: int, by: list[str] | None = None) -> DataFrame:
+    """samples, samples_per_s, mb_per_s of one measured pass, or of each group of it."""
     n = F.count("*")
-    return batches.agg(n.alias("samples"), (n / seconds).alias("samples_per_s"), (n * bytes_per_row / seconds / 1e6).alias("mb_per_s"))
+    return batches.groupBy(*(by or [])).agg(n.alias("samples"), (n / seconds).alias("samples_per_s"), (n * bytes_per_row / seconds / 1e6).alias("mb_per_s"))
 
 
 def with_ceiling(df: DataFrame, ceiling: DataFrame, keys: list[str], value: str, top: str) -> DataFrame:
@@ -29,4 +27,10 @@ def with_ceiling(df: DataFrame, ceiling: DataFrame, keys: list[str], value: str,
     return df.join(ceiling, keys, "left").withColumn("pct_of_ceiling", F.col(value) * 100 / F.col(top))
 
 
-__all__ = ["append_rows", "best_of_medians", "load_rows", "median_iqr", "steady_mean", "throughput", "with_ceiling"]
+
+def as_table(df: DataFrame) -> str:
+    """A report's rows (a few: aggregates) as a table in text."""
+    rows = [df.columns, *([f"{x:.3f}" if isinstance(x, float) else str(x) for x in r] for r in df.collect())]
+    wide = [max(len(r[k]) for r in rows) for k in range(len(df.columns))]
+    line = lambda r: "| " + " | ".join(x.ljust(w) for x, w in zip(r, wide)) + " |"
+    return "\n".join([line(rows[0]), "|" + "|".join("-" * (w + 2) for w in wide) + "|", *map(line, rows[1:])])

@@ -1,7 +1,8 @@
-"""A cache of transformed samples between runs: Parquet by chunk, with a header that names the pipeline.
+"""A cache of transformed samples between runs, for one fingerprint of the pipeline.
 
-Misses are found by an anti-join of wanted with stored chunks; only they are computed and appended. Spark's committer publishes a write
-whole or not at all, so there are no torn entries.
+A folder has ``header`` (JSON: format, fingerprint, schema), a folder of Parquet files for each write, and ``log``: a row for each chunk that a
+write holds, with the write's folder and the chunk's number of samples. A write is listed after its files are published, so what is not in
+the log does not count. Misses are found by an anti-join of wanted with listed chunks; only they are computed and written.
 """
 
 from __future__ import annotations
@@ -12,52 +13,79 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FORMAT = 1
+FORMAT = 2
+_LOG = "chunk_id bigint, samples bigint, folder string"
 
 
 class StaleCache(ValueError):
     pass
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+def bare_name(name: str | None) -> bool:
+    """Whether a name is that of something in a folder itself: nothing read from a log may lead out of it."""
+    return bool(name) and name not in (".", "..") and not set(name) & set("/\\\0")
 
 
 class ChunkCache:
-    """Samples (sample_index, value) by chunk below path, for one fingerprint and schema."""
+    """Samples (sample_index, value) by chunk below path. Counters: hits, misses, mismatches (listed chunks whose samples are not the listed
+    number, or whose folder's name is no bare name) and missing (listed chunks whose folder is gone); both are computed again."""
 
     def __init__(self, spark: SparkSession, path: str, fingerprint: str, schema: str, *, reset_stale: bool = False):
-        self.spark, self.path, self.schema = spark, path, f"{schema}, chunk_id bigint"
+        self.spark, self.path, self.schema = spark, path.rstrip("/"), f"{schema}, chunk_id bigint"
         self.header = {"format": FORMAT, "pipeline": fingerprint, "schema": schema}
-        self.hits = self.misses = 0
-        self.found = False
-        fs, top = _fs(spark, path)
+        self.hits = self.misses = self.mismatches = self.missing = 0
         old = self._header()
-        if old is not None and old != self.header:
+        if old not in (None, self.header):
             if not reset_stale:
                 raise StaleCache(f"{path} belongs to another pipeline; reset it or choose another folder")
-            fs.delete(top, True)
+            self.clear()
             old = None
         self.found = old is not None
         if old is None:
-            spark.createDataFrame([(json.dumps(self.header),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_header")
+            spark.createDataFrame([(json.dumps(self.header),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/header")
+
+    def _at(self, name: str = ""):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}".rstrip("/"))
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+
+    def _exists(self, name: str) -> bool:
+        fs, p = self._at(name)
+        return fs.exists(p)
 
     def _header(self) -> dict | None:
-        fs, p = _fs(self.spark, f"{self.path}/_header")
-        if not fs.exists(p):
+        if not self._exists("header"):
+            if self._exists("log"):
+                raise StaleCache(f"{self.path} holds chunks but no header; nothing says of which pipeline")
             return None
-        rows = self.spark.read.text(f"{self.path}/_header").collect()
-        if len(rows) != 1:
-            raise StaleCache(f"{self.path} has no readable header")
-        return json.loads(rows[0].value)
+        rows = self.spark.read.text(f"{self.path}/header").collect()
+        try:
+            return json.loads(rows[0].value)
+        except (IndexError, ValueError) as e:
+            raise StaleCache(f"{self.path} has no readable header") from e
+
+    def log(self) -> DataFrame:
+        return self.spark.read.schema(_LOG).parquet(f"{self.path}/log") if self._exists("log") else self.spark.createDataFrame([], _LOG)
+
+    def folders(self) -> list[str]:
+        """The folders that the log lists, a row a write."""
+        return sorted(r.folder for r in self.log().select("folder").distinct().collect() if bare_name(r.folder))
 
     def stored(self) -> DataFrame:
-        fs, p = _fs(self.spark, f"{self.path}/data")
-        if not fs.exists(p):
+        """Samples of chunks that are listed, present and whole, with chunk_id; of a chunk that two writes list, those of one."""
+        log = self.log()
+        present = [f for f in self.folders() if self._exists(f)]
+        listed, there = log.count(), log.where(F.col("folder").isin(present))
+        rows = None
+        for f in present:
+            own = self.spark.read.schema(self.schema).parquet(f"{self.path}/{f}").withColumn("folder", F.lit(f))
+            rows = own if rows is None else rows.unionAll(own)
+        fine = self.spark.createDataFrame([], _LOG) if rows is None else there.join(rows.groupBy("folder", "chunk_id").agg(F.count("*").alias("samples")), ["folder", "chunk_id", "samples"], "left_semi")
+        here = there.count()
+        self.missing, self.mismatches = listed - here, here - fine.count()
+        if rows is None:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/data")
+        one = fine.groupBy("chunk_id").agg(F.min("folder").alias("folder"))
+        return rows.join(one, ["chunk_id", "folder"], "left_semi").select("sample_index", "value", "chunk_id")
 
     def get(self, wanted: DataFrame, compute) -> DataFrame:
         """Samples of the wanted chunks (chunk_id): stored ones, and compute(misses) -> (sample_index, value, chunk_id), which are stored."""
@@ -66,19 +94,23 @@ class ChunkCache:
         self.misses = miss.count()
         self.hits = wanted.count() - self.misses
         if self.misses:
-            compute(miss).write.mode("append").partitionBy("chunk_id").parquet(f"{self.path}/data")
-        return self.stored().join(wanted.select("chunk_id"), "chunk_id", "left_semi")
+            folder = f"write-{uuid.uuid4().hex}"
+            compute(miss).select("sample_index", "value", "chunk_id").write.parquet(f"{self.path}/{folder}")
+            done = self.spark.read.schema(self.schema).parquet(f"{self.path}/{folder}").groupBy("chunk_id").agg(F.count("*").alias("samples"))
+            done.withColumn("folder", F.lit(folder)).write.mode("append").parquet(f"{self.path}/log")
+        seen = self.mismatches, self.missing
+        out = self.stored().join(wanted.select("chunk_id"), "chunk_id", "left_semi")
+        self.mismatches, self.missing = seen
+        return out
 
     def clear(self) -> None:
-        fs, p = _fs(self.spark, self.path)
-        fs.delete(p, True)
+        """Removes the header, the log and the folders that it lists, and nothing else that lies in the folder."""
+        for name in (*self.folders(), "log", "header"):
+            fs, p = self._at(name)
+            fs.delete(p, True)
 
 
 def coverage(planned: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
     """planned with hit: whether a chunk is stored."""
     own = stored.select(*keys).distinct().withColumn("hit", F.lit(True))
     return planned.join(own, keys, "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
-
-
-def fresh_path(top: str) -> str:
-    return f"{top.rstrip('/')}/cache-{uuid.uuid4().hex}"

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import inspect
+import pickle
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.geometry import Geometry
+from ..sources.ztensor import element, sample_rows
 
 ChunkTransform = Callable[[str, np.ndarray, int], np.ndarray]
 
@@ -35,51 +37,52 @@ def output_geometry(geometry: Geometry, transforms: list[ChunkTransform]) -> Geo
 
 def checked(values: np.ndarray, geometry: Geometry) -> np.ndarray:
     """Values of the declared shape, in the declared type."""
-    if values.shape[1:] != geometry.inner_shape:
-        raise ValueError(f"{geometry.path}: a transform gave {values.shape[1:]}, declared is {geometry.inner_shape}; declare output_inner")
+    if values.shape[1:] != geometry.field:
+        raise ValueError(f"{geometry.path}: a transform gave {values.shape[1:]}, declared is {geometry.field}; declare output_inner")
     return values.astype(geometry.dtype)
 
 
-def element_type(dtype: str) -> tuple[str, pa.DataType]:
-    k = np.dtype(dtype)
-    if k.kind == "f":
-        return ("float", pa.float32()) if k.itemsize <= 4 else ("double", pa.float64())
-    return ("bigint", pa.int64()) if k.itemsize * 8 + (k.kind == "u") > 32 else ("int", pa.int32())
-
-
 def apply_chunk_transforms(samples: DataFrame, geometry: Geometry, transforms: list[ChunkTransform]) -> DataFrame:
-    """(sample_index, value) -> the same with every chunk passed through the transforms once, whole. One shuffle by chunk."""
+    """(sample_index, value) of any frame -> the same with every chunk passed through the transforms once, whole. One shuffle by chunk; samples
+    of a store need none, as ``ztensor.read_samples`` applies transforms where it reads."""
     if not transforms:
         return samples
     out = output_geometry(geometry, transforms)
-    spc = geometry.sample_chunk_size
-    sql, arrow = element_type(out.dtype)
+    sql, arrow = element(out.dtype)
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by("sample_index")
         index = group.column("sample_index").to_numpy()
         flat = group.column("value").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        values = flat.astype(geometry.dtype).reshape(len(index), *geometry.inner_shape)
+        values = flat.astype(geometry.dtype).reshape(len(index), *geometry.field)
         for t in transforms:
             values = t(geometry.path, values, int(index[0]))
-        flat = checked(values, out).reshape(len(index), -1)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, max(1, flat.shape[1]), dtype=np.int32)), pa.array(flat.ravel()).cast(arrow))
-        return pa.table([pa.array(index), lists], ["sample_index", "value"])
+        rows = sample_rows(checked(values, out), 0, arrow)
+        return pa.table([pa.array(index), rows.column(1)], ["sample_index", "value"])
 
-    dealt = samples.withColumn("chunk", F.expr(f"sample_index div {spc}"))
+    dealt = samples.withColumn("chunk", F.expr(f"sample_index div {geometry.sample_chunk_size}"))
     return dealt.groupBy("chunk").applyInArrow(run, f"sample_index bigint, value array<{sql}>")
 
 
 def identity(transforms: list) -> str:
-    """A fingerprint of a pipeline: of each transform its cache_key, or else its pickle."""
+    """A fingerprint of a pipeline: of each transform its cache_key, or else its pickle and the source of the module that it comes from, as a
+    pickle holds only the name of what can be imported."""
     h = hashlib.sha256()
     for t in transforms:
         own = getattr(t, "cache_key", None)
-        try:
-            token = own.encode() if isinstance(own, str) else cloudpickle.dumps(t)
-        except Exception:
-            token = inspect.getsource(t).encode()
-        h.update(hashlib.sha256(token).digest())
+        if isinstance(own, str):
+            tokens = [own.encode()]
+        else:
+            tokens = []
+            for token in (lambda: cloudpickle.dumps(t), lambda: inspect.getsource(inspect.getmodule(t if inspect.isroutine(t) else type(t))).encode()):  # noqa: B023
+                try:
+                    tokens.append(token())
+                except (TypeError, OSError, AttributeError, pickle.PicklingError):  # no source, or nothing to pickle
+                    tokens.append(b"")
+            if not any(tokens):
+                raise ValueError(f"{t!r} can be told apart by nothing; give it a cache_key")
+        for token in tokens:
+            h.update(hashlib.sha256(token).digest())
     return h.hexdigest()
 
 

@@ -1,100 +1,89 @@
-"""``spark.read.format("ztensor")``: chunked array groups (Zarr v2 and v3) as tiles, through any file system that pyarrow opens.
+"""``spark.read.format("ztensor")``: chunked array groups (Zarr v2 and v3), through any file system that pyarrow or fsspec opens.
 
-Options: ``path`` (a URL), ``variables`` (comma-joined; all arrays by default), ``sample_axis`` (0), ``chunks_per_task`` (8). Rows:
-path, chunk_index, inner_coord, data (raw little-endian elements of the whole tile, samples first), ok. A tile that is absent is its
-fill value; one that cannot be decoded has ok false and no data. With ``prune`` true, which needs
+Options: ``path`` (a URL), ``variables`` (comma-joined; all arrays by default), ``sample_axis`` (0), ``chunks_per_task`` (8), ``backend``
+(arrow, fsspec), ``storage_options`` (JSON, see ``stores``).
+
+Rows are tiles: path, chunk_index, inner_coord, data (raw little-endian elements of the whole tile, samples first), ok. A tile that is absent
+is its fill value; one that cannot be decoded has ok false and no data. With ``emit`` = samples (of one variable), rows are sample_index and
+value: a task puts its chunks together itself, passes them through the chunk transforms (``transforms``, pickled) and emits their samples, so
+nothing is shuffled. ``on_bad_chunk`` then says whether a bad tile raises or is filled. With ``prune`` true, which needs
 ``spark.sql.python.filterPushdown.enabled``, filters on path and chunk_index prune tiles before they are read.
 """
 
 from __future__ import annotations
 
+import base64
 import gzip
 import json
 import zlib
 from collections.abc import Iterator
-from math import prod
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from ..plans.geometry import Geometry
+from .codecs import Chain
 from .shared import ship
+from .stores import filesystem, read_whole
 
 TILES = "path string, chunk_index bigint, inner_coord array<int>, data binary, ok boolean"
+_KIND = {"f": lambda n: ("float", pa.float32()) if n <= 4 else ("double", pa.float64()), "b": lambda n: ("boolean", pa.bool_()), "i": lambda n: ("int", pa.int32()) if n <= 4 else ("bigint", pa.int64()), "u": lambda n: ("int", pa.int32()) if n < 4 else ("bigint", pa.int64())}
 
 
-def filesystem(url: str) -> tuple[pafs.FileSystem, str]:
-    if "://" in url:
-        return pafs.FileSystem.from_uri(url)
-    return pafs.LocalFileSystem(), url
-
-
-def _read(fs: pafs.FileSystem, path: str) -> bytes | None:
-    try:
-        with fs.open_input_stream(path, compression=None) as f:
-            return f.read()
-    except FileNotFoundError:
-        return None
+def element(dtype: str) -> tuple[str, pa.DataType]:
+    """The SQL and Arrow types that hold a stored type: the next wider signed one of unsigned integers, float of halves."""
+    k = np.dtype(dtype)
+    return _KIND[k.kind](k.itemsize)
 
 
 class Layout:
     """What the store's metadata says of one array: geometry, key encoding, codecs and fill value."""
 
     def __init__(self, name: str, meta: dict, version: int, sample_axis: int):
-        self.version = version
         if version == 3:
             if meta.get("node_type") != "array":
                 raise TypeError(f"{name} is a group, not an array")
             chunks, dtype = meta["chunk_grid"]["configuration"]["chunk_shape"], np.dtype(meta["data_type"])
-            self.codecs = [(c["name"], c.get("configuration", {})) for c in meta["codecs"]]
-            endian = next((c.get("endian", "little") for n, c in self.codecs if n == "bytes"), "little")
-            self.stored = dtype.newbyteorder("<" if endian == "little" else ">")
+            codecs = [(c["name"], c.get("configuration", {})) for c in meta["codecs"]]
+            endian = next((c.get("endian", "little") for n, c in codecs if n == "bytes"), "little")
+            stored, order = dtype.newbyteorder("<" if endian == "little" else ">"), "C"
             encoding = meta.get("chunk_key_encoding", {"name": "default"})
             self.prefix = "c/" if encoding["name"] == "default" else ""
             self.separator = encoding.get("configuration", {}).get("separator", "/" if self.prefix else ".")
-            self.order = "C"
         else:
-            chunks, self.stored = meta["chunks"], np.dtype(meta["dtype"])
-            self.codecs = [(c["id"], c) for c in [*(meta.get("filters") or ()), *([meta["compressor"]] if meta.get("compressor") else ())]]
-            self.prefix, self.separator, self.order = "", meta.get("dimension_separator", "."), meta.get("order", "C")
-        known = {"bytes", "zstd", "gzip", "zlib", "transpose"}
-        if unknown := [n for n, _ in self.codecs if n not in known]:
-            raise ValueError(f"{name}: codecs {unknown} are not supported")
+            chunks, stored, order = meta["chunks"], np.dtype(meta["dtype"]), meta.get("order", "C")
+            codecs = [(c["id"], c) for c in [*(meta.get("filters") or ()), *([meta["compressor"]] if meta.get("compressor") else ())]]
+            self.prefix, self.separator = "", meta.get("dimension_separator", ".")
         fill = meta.get("fill_value")
         self.fill = {"NaN": np.nan, "Infinity": np.inf, "-Infinity": -np.inf, None: 0}.get(fill, fill) if not isinstance(fill, list) else 0
-        self.geometry = Geometry(name, tuple(meta["shape"]), tuple(chunks), self.stored.newbyteorder("<").str, 0, sample_axis)
-
-    def key(self, coord: tuple[int, ...]) -> str:
-        if not coord:
+        try:
+            self.chain = Chain(codecs, stored, order, self.fill)
+        except ValueError as e:
+            raise ValueError(f"{name}: {e}") from e
+        self.geometry = Geometry(name, tuple(meta["shape"]), tuple(chunks), stored.newbyteorder("<").str, 0, sample_axis)
+
+    def key(self, cell: tuple[int, ...]) -> str:
+        if not cell:
             return "c" if self.prefix else "0"
-        return self.prefix + self.separator.join(map(str, coord))
-
-    def decode(self, raw: bytes) -> np.ndarray:
-        shape, order = self.geometry.chunks, self.order
-        for name, conf in reversed(self.codecs):
-            if name == "zstd":
-                import zstandard
-
-                raw = zstandard.ZstdDecompressor().decompressobj().decompress(raw)
-            elif name == "gzip":
-                raw = gzip.decompress(raw)
-            elif name == "zlib":
-                raw = zlib.decompress(raw)
-        axes = next((tuple(c["order"]) for n, c in self.codecs if n == "transpose"), None)
-        flat = np.frombuffer(raw, self.stored)
-        if len(flat) != prod(shape):
-            raise ValueError("a tile has the wrong number of elements")
-        if axes:
-            return flat.reshape([shape[a] for a in axes]).transpose(np.argsort(axes))
-        return flat.reshape(shape, order=order)
-
-
-def layouts(url: str, variables: list[str] | None = None, sample_axis: int = 0) -> dict[str, Layout]:
-    fs, top = filesystem(url)
+        return self.prefix + self.separator.join(map(str, cell))
+
+    def decode(self, raw: bytes | None) -> np.ndarray:
+        """A tile in stored order; an absent one is filled."""
+        g = self.geometry
+        return np.full(g.chunks, self.fill, g.dtype) if raw is None else self.chain.decode(raw, g.chunks).astype(g.dtype)
+
+    def filler(self):
+        """What stands in for a tile that cannot be decoded: NaN, or for other than floats the fill value."""
+        return np.nan if np.dtype(self.geometry.dtype).kind == "f" else self.fill
+
+
+def layouts(url: str, variables: list[str] | None = None, sample_axis: int = 0, options: dict | str | None = None, backend: str = "arrow") -> dict[str, Layout]:
+    fs, top = filesystem(url, options, backend)
     if variables is None:
         names = [i.base_name for i in fs.get_file_info(pafs.FileSelector(top)) if i.type == pafs.FileType.Directory]
         names = sorted(n for n in names if _meta(fs, f"{top}/{n}", strict=False))
@@ -113,18 +102,18 @@ def layouts(url: str, variables: list[str] | None = None, sample_axis: int = 0)
 
 
 def _meta(fs: pafs.FileSystem, path: str, strict: bool) -> tuple[dict, int] | None:
-    if raw := _read(fs, f"{path}/zarr.json"):
+    if raw := read_whole(fs, f"{path}/zarr.json"):
         meta = json.loads(raw)
         return (meta, 3) if strict or meta.get("node_type") == "array" else None
-    if raw := _read(fs, f"{path}/.zarray"):
+    if raw := read_whole(fs, f"{path}/.zarray"):
         return json.loads(raw), 2
-    if strict and _read(fs, f"{path}/.zgroup"):
+    if strict and read_whole(fs, f"{path}/.zgroup"):
         raise TypeError(f"{path} is a group, not an array")
     return None
 
 
-def open_geometries(url: str, variables: list[str] | None = None, *, sample_axis: int = 0) -> dict[str, Geometry]:
-    return {n: x.geometry for n, x in layouts(url, variables, sample_axis).items()}
+def open_geometries(url: str, variables: list[str] | None = None, *, sample_axis: int = 0, options: dict | str | None = None, backend: str = "arrow") -> dict[str, Geometry]:
+    return {n: x.geometry for n, x in layouts(url, variables, sample_axis, options, backend).items()}
 
 
 def ready(url: str, expected: dict[str, Geometry]) -> bool:
@@ -143,9 +132,34 @@ class _Tiles(InputPartition):
         self.name, self.chunks = name, chunks
 
 
+def whole_chunk(layout: Layout, chunk: int, read, on_bad_chunk: str = "raise") -> np.ndarray:
+    """A chunk, samples first, from read(key), the stored bytes of a tile or None."""
+    g = layout.geometry
+    out = np.empty((len(g.samples(chunk)), *g.field), g.dtype)
+    for cell in g.tiles(chunk):
+        raw = read(layout.key(cell))
+        try:
+            tile = layout.decode(raw)
+        except Exception as e:  # any codec's own error
+            if on_bad_chunk == "raise":
+                raise ValueError(f"{g.path}: tile {cell} of chunk {chunk} cannot be decoded") from e
+            tile = np.full(g.chunks, layout.filler(), g.dtype)
+        g.scatter(cell, tile, out)
+    return out
+
+
+def sample_rows(values: np.ndarray, first: int, arrow: pa.DataType) -> pa.RecordBatch:
+    flat = np.ascontiguousarray(values).reshape(len(values), -1)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, max(1, flat.shape[1]), dtype=np.int32)), pa.array(flat.ravel(), from_pandas=False).cast(arrow))
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + len(flat)), pa.int64()), lists], ["sample_index", "value"])
+
+
 class _Reader(DataSourceReader):
-    def __init__(self, url: str, found: dict[str, Layout], per_task: int):
-        self.url, self.found, self.per_task = url, found, per_task
+    def __init__(self, options: dict, found: dict[str, Layout]):
+        self.url, self.found, self.per_task = options["path"], found, int(options.get("chunks_per_task", 8))
+        self.store = options.get("storage_options"), options.get("backend", "arrow")
+        self.samples, self.on_bad = options.get("emit") == "samples", options.get("on_bad_chunk", "raise")
+        self.transforms = options.get("transforms")
         self.paths, self.lo, self.hi = set(found), 0, None
 
     def partitions(self):
@@ -159,21 +173,36 @@ class _Reader(DataSourceReader):
     def read(self, part: _Tiles) -> Iterator[pa.RecordBatch]:
         if not part.chunks:
             return
-        fs, top = filesystem(self.url)
+        fs, top = filesystem(self.url, *self.store)
         layout = self.found[part.name]
+        get = lambda key: read_whole(fs, f"{top}/{part.name}/{key}")
+        yield from self._chunks(layout, part.chunks, get) if self.samples else self._tiles(layout, part.chunks, get)
+
+    def _chunks(self, layout: Layout, chunks: list[int], get) -> Iterator[pa.RecordBatch]:
+        from ..operators.transforms import checked, output_geometry
+
+        g = layout.geometry
+        steps = cloudpickle.loads(base64.b64decode(self.transforms)) if self.transforms else []
+        out = output_geometry(g, steps)
+        for c in chunks:
+            values = whole_chunk(layout, c, get, self.on_bad)
+            for t in steps:
+                values = t(g.path, values, g.samples(c).start)
+            yield sample_rows(checked(values, out) if steps else values, g.samples(c).start, element(out.dtype)[1])
+
+    def _tiles(self, layout: Layout, chunks: list[int], get) -> Iterator[pa.RecordBatch]:
         g = layout.geometry
-        for c in part.chunks:
+        for c in chunks:
             rows = []
-            for inner in g.inner_coords():
-                raw, ok = _read(fs, f"{top}/{part.name}/{layout.key(g.physical_coord(c, inner))}"), True
+            for cell in g.tiles(c):
+                raw = get(layout.key(cell))
                 try:
-                    tile = np.full(g.chunks, layout.fill, g.dtype) if raw is None else layout.decode(raw)
-                    data = np.ascontiguousarray(np.moveaxis(tile, g.sample_axis, 0)).astype(g.dtype).tobytes()
+                    data, ok = np.ascontiguousarray(np.moveaxis(layout.decode(raw), g.sample_axis, 0)).tobytes(), True
                 except Exception:  # any codec's own error
                     data, ok = None, False
-                rows.append((list(inner), data, ok))
+                rows.append((np.delete(cell, g.sample_axis).tolist(), data, ok))
             n = len(rows)
-            cols = [pa.array([part.name] * n), pa.array([c] * n, pa.int64()), pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows])]
+            cols = [pa.array([g.path] * n), pa.array([c] * n, pa.int64()), pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows])]
             yield pa.RecordBatch.from_arrays(cols, ["path", "chunk_index", "inner_coord", "data", "ok"])
 
 
@@ -197,14 +226,26 @@ class ZTensor(DataSource):
     def name(cls) -> str:
         return "ztensor"
 
+    def _found(self) -> dict[str, Layout]:
+        o = self.options
+        names = o.get("variables")
+        return layouts(o["path"], names.split(",") if names else None, int(o.get("sample_axis", 0)), o.get("storage_options"), o.get("backend", "arrow"))
+
     def schema(self) -> str:
-        return TILES
+        if self.options.get("emit") != "samples":
+            return TILES
+        found = self._found()
+        if len(found) != 1:
+            raise ValueError(f"samples are of one variable, not {sorted(found)}")
+        from ..operators.transforms import output_geometry
+
+        steps = self.options.get("transforms")
+        out = output_geometry(next(iter(found.values())).geometry, cloudpickle.loads(base64.b64decode(steps)) if steps else [])
+        return f"sample_index bigint, value array<{element(out.dtype)[0]}>"
 
     def reader(self, schema) -> _Reader:
-        names = self.options.get("variables")
-        found = layouts(self.options["path"], names.split(",") if names else None, int(self.options.get("sample_axis", 0)))
         kind = _PruningReader if self.options.get("prune") == "true" else _Reader
-        return kind(self.options["path"], found, int(self.options.get("chunks_per_task", 8)))
+        return kind(dict(self.options), self._found())
 
 
 def register(spark: SparkSession) -> None:
@@ -212,83 +253,125 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(ZTensor)
 
 
-def read_tiles(spark: SparkSession, url: str, variables: list[str] | None = None, *, sample_axis: int = 0, **options) -> DataFrame:
+def _opened(spark: SparkSession, url: str, variables: list[str] | None, options: dict) -> DataFrame:
     register(spark)
     names = {"variables": ",".join(variables)} if variables else {}
+    as_text = {k: json.dumps(v) if isinstance(v, dict) else str(v) for k, v in options.items() if v is not None}
+    return spark.read.format("ztensor").options(path=url, **names, **as_text).load()
+
+
+def read_tiles(spark: SparkSession, url: str, variables: list[str] | None = None, *, sample_axis: int = 0, **options) -> DataFrame:
+    """Stored tiles. options: those of the source, storage_options as a dict among them."""
     prune = str(spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")).lower()
-    return spark.read.format("ztensor").options(path=url, sample_axis=str(sample_axis), prune=prune, **names, **{k: str(v) for k, v in options.items()}).load()
+    return _opened(spark, url, variables, {"sample_axis": sample_axis, "prune": prune, **options})
 
 
-def assemble(tiles: DataFrame, geometry: Geometry, on_bad_chunk: str = "raise") -> DataFrame:
-    """Tiles of one array -> (sample_index, value): a row a sample with its inner field flattened. The tiles of a chunk are one group.
+def bad_tiles(tiles: DataFrame) -> DataFrame:
+    return tiles.where("not ok").select("path", "chunk_index", "inner_coord")
 
-    A bad tile raises, or under "nan" is NaN (for other than floats the values are 0).
+
+def read_samples(spark: SparkSession, url: str, variables: list[str] | None = None, *, sample_axis: int = 0, on_bad_chunk: str = "raise", transforms: tuple = (), **options) -> dict[str, DataFrame]:
+    """For each variable a frame (sample_index, value), its chunks put together and transformed where they are read.
+
+    A bad tile raises, or under "nan" is NaN (for other than floats the fill value).
     """
     if on_bad_chunk not in ("raise", "nan"):
         raise ValueError(f"on_bad_chunk is raise or nan, not {on_bad_chunk!r}")
-    g = geometry
-    kind = np.dtype(g.dtype)
-    element = {"f": "float" if kind.itemsize <= 4 else "double", "b": "boolean"}.get(kind.kind, "bigint" if kind.itemsize * 8 + (kind.kind == "u") > 32 else "int")
-    arrow = {"float": pa.float32(), "double": pa.float64(), "boolean": pa.bool_(), "bigint": pa.int64(), "int": pa.int32()}[element]
+    found = open_geometries(url, variables, sample_axis=sample_axis, options=options.get("storage_options"), backend=options.get("backend", "arrow"))
+    steps = base64.b64encode(cloudpickle.dumps(list(transforms))).decode() if transforms else None
+    return {n: _opened(spark, url, [n], {"sample_axis": sample_axis, "emit": "samples", "on_bad_chunk": on_bad_chunk, "transforms": steps, **options}) for n in found}
+
+
+def assemble(tiles: DataFrame, geometry: Geometry, on_bad_chunk: str = "raise") -> DataFrame:
+    """Tiles of one array, from wherever they come (a reference table, a join), -> (sample_index, value). The tiles of a chunk are one group."""
+    if on_bad_chunk not in ("raise", "nan"):
+        raise ValueError(f"on_bad_chunk is raise or nan, not {on_bad_chunk!r}")
+    g, kind = geometry, np.dtype(geometry.dtype)
+    sql, arrow = element(g.dtype)
+    tile = np.moveaxis(np.empty(g.chunks, bool), g.sample_axis, 0).shape
 
     def run(group: pa.Table) -> pa.Table:
         chunk = group.column("chunk_index")[0].as_py()
-        slot = np.empty(g.slot_shape(chunk), kind)
-        for inner, data, ok in zip(group.column("inner_coord").to_pylist(), group.column("data").to_pylist(), group.column("ok").to_pylist()):
-            to, part = g.tile_placement(chunk, tuple(inner))
-            if ok:
-                slot[to] = np.frombuffer(data, kind).reshape(g.sample_chunk_size, *g.inner_chunks)[part]
-            elif on_bad_chunk == "nan":
-                slot[to] = np.nan if kind.kind == "f" else 0
-            else:
+        out = np.empty((len(g.samples(chunk)), *g.field), kind)
+        for inner, data, ok in zip(*(group.column(c).to_pylist() for c in ("inner_coord", "data", "ok"))):
+            if not ok and on_bad_chunk == "raise":
                 raise ValueError(f"{g.path}: tile {inner} of chunk {chunk} cannot be decoded")
-        flat = slot.reshape(len(slot), -1)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, max(1, flat.shape[1]), dtype=np.int32)), pa.array(flat.ravel(), from_pandas=False).cast(arrow))
-        return pa.table([pa.array(np.array(g.samples_in_chunk(chunk)), pa.int64()), lists], ["sample_index", "value"])
+            part = np.frombuffer(data, kind).reshape(tile) if ok else np.full(tile, np.nan if kind.kind == "f" else 0, kind)
+            g.scatter(tuple(np.insert(inner, g.sample_axis, chunk).tolist()), np.moveaxis(part, 0, g.sample_axis), out)
+        return pa.Table.from_batches([sample_rows(out, g.samples(chunk).start, arrow)])
 
-    return tiles.where(F.col("path") == g.path).groupBy("chunk_index").applyInArrow(run, f"sample_index bigint, value array<{element}>")
+    return tiles.where(F.col("path") == g.path).groupBy("chunk_index").applyInArrow(run, f"sample_index bigint, value array<{sql}>")
 
 
-def bad_tiles(tiles: DataFrame) -> DataFrame:
-    return tiles.where("not ok").select("path", "chunk_index", "inner_coord")
+def metadata(name: str, shape: tuple[int, ...], chunks: tuple[int, ...], dtype: np.dtype, *, version: int = 3, codec: str | None = None, fill_value: float = 0) -> tuple[str, dict]:
+    """The metadata's file name and body. codec: zstd, gzip (both versions), zlib (2)."""
+    if version == 3:
+        codecs = [{"name": "bytes", "configuration": {"endian": "little"}}] + ([{"name": codec, "configuration": {"level": 3}}] if codec else [])
+        return "zarr.json", {"zarr_format": 3, "node_type": "array", "shape": list(shape), "data_type": dtype.name, "chunk_grid": {"name": "regular", "configuration": {"chunk_shape": list(chunks)}}, "chunk_key_encoding": {"name": "default", "configuration": {"separator": "/"}}, "fill_value": fill_value, "codecs": codecs, "attributes": {}}
+    return ".zarray", {"zarr_format": 2, "shape": list(shape), "chunks": list(chunks), "dtype": dtype.newbyteorder("<").str, "compressor": {"id": codec, "level": 3} if codec else None, "fill_value": fill_value, "order": "C", "filters": None}
 
 
-def read_samples(spark: SparkSession, url: str, variables: list[str] | None = None, *, sample_axis: int = 0, on_bad_chunk: str = "raise", **options) -> dict[str, DataFrame]:
-    """For each variable a frame (sample_index, value)."""
-    found = open_geometries(url, variables, sample_axis=sample_axis)
-    return {n: assemble(read_tiles(spark, url, [n], sample_axis=sample_axis, **options), g, on_bad_chunk) for n, g in found.items()}
+def _put(fs: pafs.FileSystem, path: str, data: bytes) -> None:
+    fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    with fs.open_output_stream(path, compression=None) as f:
+        f.write(data)
 
 
-def write_array(url: str, name: str, values: np.ndarray, chunks: tuple[int, ...], *, version: int = 3, codec: str | None = None, fill_value: float = 0, skip: frozenset = frozenset()) -> None:
-    """Writes an array in tiles; those in skip (chunk coordinates) stay absent."""
-    fs, top = filesystem(url)
-    fs.create_dir(f"{top}/{name}", recursive=True)
+def _packed(raw: bytes, codec: str | None) -> bytes:
+    if codec == "zstd":
+        import zstandard
 
-    def put(key: str, data: bytes):
-        path = f"{top}/{name}/{key}"
-        fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
-        with fs.open_output_stream(path, compression=None) as f:
-            f.write(data)
+        return zstandard.ZstdCompressor().compress(raw)
+    return gzip.compress(raw) if codec == "gzip" else zlib.compress(raw) if codec == "zlib" else raw
 
-    if version == 3:
-        codecs = [{"name": "bytes", "configuration": {"endian": "little"}}] + ([{"name": codec, "configuration": {"level": 3}}] if codec else [])
-        meta = {"zarr_format": 3, "node_type": "array", "shape": values.shape, "data_type": values.dtype.name, "chunk_grid": {"name": "regular", "configuration": {"chunk_shape": chunks}}, "chunk_key_encoding": {"name": "default", "configuration": {"separator": "/"}}, "fill_value": fill_value, "codecs": codecs, "attributes": {}}
-        put("zarr.json", json.dumps(meta).encode())
-    else:
-        meta = {"zarr_format": 2, "shape": values.shape, "chunks": chunks, "dtype": values.dtype.newbyteorder("<").str, "compressor": {"id": codec, "level": 3} if codec else None, "fill_value": fill_value, "order": "C", "filters": None}
-        put(".zarray", json.dumps(meta).encode())
-    layout = Layout(name, meta, version, 0)
-    for coord in np.ndindex(*(-(-s // c) for s, c in zip(values.shape, chunks))):
-        if coord in skip:
+
+def _write_chunk(fs: pafs.FileSystem, folder: str, layout: Layout, chunk: int, values: np.ndarray, codec: str | None, skip=frozenset()) -> int:
+    """Writes the tiles of a chunk (samples first) but those to skip; returns how many."""
+    g, n = layout.geometry, 0
+    stored = np.moveaxis(values, 0, g.sample_axis)
+    for cell in g.tiles(chunk):
+        if cell in skip:
             continue
-        tile = np.full(chunks, fill_value, values.dtype)
-        part = values[tuple(slice(k * c, (k + 1) * c) for k, c in zip(coord, chunks))]
-        tile[tuple(slice(0, n) for n in part.shape)] = part
-        raw = tile.astype(tile.dtype.newbyteorder("<")).tobytes()
-        if codec == "zstd":
-            import zstandard
-
-            raw = zstandard.ZstdCompressor().compress(raw)
-        elif codec in ("gzip", "zlib"):
-            raw = gzip.compress(raw) if codec == "gzip" else zlib.compress(raw)
-        put(layout.key(coord), raw)
+        box = g.grid.box(cell)
+        part = stored[tuple(slice(None) if a == g.sample_axis else slice(r.start, r.stop) for a, r in enumerate(box))]
+        tile = np.full(g.chunks, layout.fill, g.dtype)
+        tile[tuple(slice(k) for k in part.shape)] = part
+        _put(fs, f"{folder}/{layout.key(cell)}", _packed(tile.tobytes(), codec))
+        n += 1
+    return n
+
+
+def write_array(url: str, name: str, values: np.ndarray, chunks: tuple[int, ...], *, version: int = 3, codec: str | None = None, fill_value: float = 0, skip: frozenset = frozenset(), options: dict | None = None) -> None:
+    """Writes an array that the caller holds, in tiles; those in skip (cells) stay absent."""
+    fs, top = filesystem(url, options)
+    file, meta = metadata(name, values.shape, chunks, values.dtype, version=version, codec=codec, fill_value=fill_value)
+    _put(fs, f"{top}/{name}/{file}", json.dumps(meta).encode())
+    layout = Layout(name, meta, version, 0)
+    for c in range(layout.geometry.n_chunks):
+        own = layout.geometry.samples(c)
+        _write_chunk(fs, f"{top}/{name}", layout, c, values[own.start : own.stop], codec, skip)
+
+
+def write_samples(samples: DataFrame, url: str, name: str, n_samples: int, field: tuple[int, ...], chunks: tuple[int, ...], *, dtype: str = "f4", version: int = 3, codec: str | None = None, fill_value: float = 0, storage_options: dict | None = None) -> tuple[int, int]:
+    """Writes (sample_index, value) as an array (samples first): each chunk by one task, wherever it runs; the driver writes the metadata
+    alone. Returns how many chunks and tiles were written; chunks without samples stay absent, missing samples are filled. A task that
+    is run again writes the same files."""
+    ship(samples.sparkSession)
+    fs, top = filesystem(url, storage_options)
+    file, meta = metadata(name, (n_samples, *field), chunks, np.dtype(dtype), version=version, codec=codec, fill_value=fill_value)
+    layout = Layout(name, meta, version, 0)
+    g = layout.geometry
+
+    def run(group: pa.Table) -> pa.Table:
+        at = group.column("sample_index").to_numpy()
+        chunk = int(at[0]) // g.sample_chunk_size
+        values = np.full((len(g.samples(chunk)), *g.field), layout.fill, g.dtype)
+        flat = group.column("value").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        values[at - g.samples(chunk).start] = flat.reshape(len(at), *g.field)
+        own, path = filesystem(url, storage_options)
+        return pa.table({"chunk_index": pa.array([chunk], pa.int64()), "tiles": pa.array([_write_chunk(own, f"{path}/{name}", layout, chunk, values, codec)], pa.int64())})
+
+    written = samples.groupBy(F.expr(f"sample_index div {g.sample_chunk_size}").alias("c")).applyInArrow(run, "chunk_index bigint, tiles bigint")
+    total = written.agg(F.count("*").alias("chunks"), F.sum("tiles").alias("tiles")).first()
+    _put(fs, f"{top}/{name}/{file}", json.dumps(meta).encode())
+    return total.chunks, total.tiles or 0

@@ -1,20 +1,28 @@
 """The tile source, transforms, cache, loader, hand-off and command line against numpy."""
 
+import importlib
 import itertools
+import json
+import linecache
+import shutil
+import struct
+import sys
+import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from gridloom import Dataset, StandardScaler, open_geometries, split_by_chunk
 from gridloom.check_transform import main
 from gridloom.functions import arrays, handoff, metrics, reports
 from gridloom.operators import transforms
-from gridloom.operators.cache import ChunkCache, StaleCache
+from gridloom.operators.cache import ChunkCache, StaleCache, bare_name
 from gridloom.operators.views import View, gather
 from gridloom.plans.geometry import Geometry
-from gridloom.sources import generators, references, ztensor
+from gridloom.sources import codecs, generators, references, stores, ztensor
 from gridloom.streaming.windows import windowed
 
 RAGGED = np.random.default_rng(0).normal(size=(5, 9, 7)).astype("f4")
@@ -84,7 +92,7 @@ def test_filters_prune_tiles(tmp_path):
     from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, LessThan
 
     ztensor.write_array(str(tmp_path), "u", np.zeros((40, 2), "f4"), (4, 2))
-    r = ztensor._PruningReader(str(tmp_path), ztensor.layouts(str(tmp_path)), 2)
+    r = ztensor._PruningReader({"path": str(tmp_path), "chunks_per_task": "2"}, ztensor.layouts(str(tmp_path)))
     assert len(list(r.pushFilters([EqualTo(("path",), "u"), GreaterThanOrEqual(("chunk_index",), 3), LessThan(("chunk_index",), 6)]))) == 3
     assert [p.chunks for p in r.partitions()] == [[3, 4], [5]]
 
@@ -95,7 +103,7 @@ def frame(spark, a):
 
 class Halve:
     def output_inner(self, g):
-        return (g.inner_shape[0] // 2, g.inner_shape[1] // 2), "<f8"
+        return (g.field[0] // 2, g.field[1] // 2), "<f8"
 
     def __call__(self, name, x, first):
         n, h, w = x.shape
@@ -154,10 +162,11 @@ def test_references_and_reports(spark, tmp_path):
     reports.append_rows(rows, str(tmp_path / "m"))
     got = reports.load_rows(spark, str(tmp_path / "m"), "config struct<engine: string, geom: int>, epoch int, mb double")
     assert got.columns == ["engine", "geom", "epoch", "mb"]
-    assert {r.engine: r.steady for r in reports.steady_mean(got, ["engine"], "epoch", "mb").collect()} == {"a": 7.0, "b": 4.0}
+    assert {r.engine: r.steady for r in metrics.steady_mean(got, ["engine"], "epoch", "mb").collect()} == {"a": 7.0, "b": 4.0}
     top = spark.createDataFrame([("a", 10.0)], "engine string, top double")
     assert {(r.engine, r.pct_of_ceiling) for r in reports.with_ceiling(got.where("epoch = 0"), top, ["engine"], "mb", "top").collect()} == {("a", 50.0), ("b", None)}
     assert reports.throughput(got, 2.0, 8).first().samples_per_s == 1.5
+    assert reports.as_table(top).splitlines() == ["| engine | top    |", "|--------|--------|", "| a      | 10.000 |"]
 
 
 def test_expressions(spark):
@@ -187,9 +196,22 @@ def test_scaler_and_metrics(spark, tmp_path):
     pairs = spark.createDataFrame([(1.0, 1.0, True, True), (3.0, 1.0, True, False)], "p double, t double, a boolean, b boolean")
     r = pairs.agg(metrics.rmse(F.col("p"), F.col("t")), metrics.iou(F.col("a"), F.col("b")), metrics.iou(F.lit(False), F.lit(False))).first()
     assert np.allclose(r, (np.sqrt(2), 0.5, 1.0))
-    flat = spark.createDataFrame([(1, 2.0), (1, 2.0), (2, 0.0), (2, 0.1), (2, 9.0), (2, 9.5)], "k long, v double")
-    got = {r.k: r.threshold for r in metrics.otsu(flat, "k", "v").collect()}
+    flat = spark.createDataFrame([(1, [2.0, 2.0]), (2, [0.0, 9.0, 0.1, 9.5])], "k long, v array<double>")
+    got = {r.k: r.t for r in flat.select("k", metrics.otsu(F.col("v")).alias("t")).collect()}
     assert got[1] == 2.0 and 0.05 < got[2] < 9
+    bad = spark.createDataFrame([([float("nan"), 1.0, 3.0, float("inf"), -50.0],)], "v array<double>").select(metrics.robust_scaled(F.col("v"))).first()[0]
+    x = np.array([0, 1, 3, 0, -50.0])
+    assert np.allclose(bad, np.clip((x - 0) / (1.4826 * np.median(np.abs(x)) + 1e-6), -5, 5))
+
+
+def test_scaler_by_level(spark, tmp_path):
+    x = RAGGED * np.arange(1, 10)[None, :, None].astype("f4")
+    df = frame(spark, x)
+    s = StandardScaler.fit(df, ["value"], {"value": 9})
+    assert np.allclose(s.mean["value"], x.mean((0, 2))) and np.allclose(s.std["value"], x.std((0, 2)))
+    s.save(spark, str(tmp_path / "s"))
+    assert StandardScaler.load(spark, str(tmp_path / "s")) == s
+    assert np.allclose(values(s.apply(df), (9, 7)), (x - x.mean((0, 2))[None, :, None]) / x.std((0, 2))[None, :, None], atol=1e-4)
 
 
 def test_cache_revives_and_goes_stale(spark, tmp_path):
@@ -213,6 +235,156 @@ def test_cache_revives_and_goes_stale(spark, tmp_path):
     c.clear()
 
 
+def test_cache_trusts_nothing_but_its_log(spark, tmp_path):
+    path, schema = str(tmp_path / "c"), "sample_index bigint, value array<double>"
+    wanted = spark.createDataFrame([(0,), (1,)], "chunk_id long")
+    make = lambda miss: miss.select(F.col("chunk_id").alias("sample_index"), F.array(F.lit(1.0)).alias("value"), "chunk_id")
+    c = ChunkCache(spark, path, "one", schema)
+    c.get(wanted, make)
+    (tmp_path / "c" / "mine.txt").write_text("not the cache's")
+    make(wanted).write.parquet(f"{path}/write-unlisted")
+    assert ChunkCache(spark, path, "one", schema).stored().count() == 2
+    folder = c.folders()[0]
+    spark.createDataFrame([(5, 1, "../out"), (6, 1, "gone"), (1, 9, folder)], "chunk_id long, samples long, folder string").write.mode("append").parquet(f"{path}/log")
+    c = ChunkCache(spark, path, "one", schema)
+    assert c.get(wanted, make).count() == 2 and (c.hits, c.misses, c.missing, c.mismatches) == (2, 0, 2, 1)
+    spark.createDataFrame([(json.dumps(c.header),), ("x",)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/header")
+    ChunkCache(spark, path, "two", schema, reset_stale=True)
+    assert (tmp_path / "c" / "mine.txt").exists() and (tmp_path / "c" / "write-unlisted").exists() and not (tmp_path / "c" / folder).exists()
+    c = ChunkCache(spark, path, "two", schema)
+    c.get(wanted, make)
+    shutil.rmtree(tmp_path / "c" / "header")
+    with pytest.raises(StaleCache, match="no header"):
+        ChunkCache(spark, path, "two", schema)
+    assert [bare_name(x) for x in ("a", "write-1", "", ".", "..", "a/b", "a\\b", None)] == [True, True, False, False, False, False, False, False]
+
+
+def test_fingerprints_follow_the_source(tmp_path, monkeypatch):
+    monkeypatch.syspath_prepend(str(tmp_path))
+    prints = []
+    for body in ("x - 1", "x - 273.15"):
+        (tmp_path / "own_steps.py").write_text(f"def step(name, x, first):\n    return {body}\n")
+        sys.modules.pop("own_steps", None)
+        importlib.invalidate_caches()
+        shutil.rmtree(tmp_path / "__pycache__", ignore_errors=True)
+        linecache.clearcache()
+        prints.append(transforms.identity([importlib.import_module("own_steps").step]))
+    sys.modules.pop("own_steps", None)
+    assert prints[0] != prints[1]
+
+
+def test_store_options_and_backends(spark, tmp_path):
+    ztensor.write_array(str(tmp_path), "x", RAGGED, (2, 4, 4))
+    got = ztensor.read_samples(spark, f"file://{tmp_path}", storage_options={"use_mmap": True})["x"]
+    assert np.array_equal(values(got, (9, 7)).astype("f4"), RAGGED)
+    with pytest.raises(TypeError):
+        ztensor.read_samples(spark, str(tmp_path), storage_options={"no_such_option": 1})
+    with pytest.raises(ValueError):
+        stores.filesystem("ftp://x/y", {"a": 1})
+    with pytest.raises(ValueError):
+        stores.filesystem(str(tmp_path), backend="other")
+    fs, path = stores.filesystem("s3://bucket/key", {"anonymous": True, "region": "eu-west-1", "endpoint_override": "localhost:9"})
+    assert fs.type_name == "s3" and path == "bucket/key"
+    assert stores.filesystem("file:/tmp/x")[1] == "/tmp/x"
+    try:
+        import fsspec  # noqa: F401
+    except ImportError:
+        with pytest.raises(ImportError, match="fsspec"):
+            stores.filesystem(str(tmp_path), backend="fsspec")
+
+
+def frame_of(data, item, block, kind, shuffle=True, split=True):
+    """A Blosc 1 frame, written by its description."""
+    codec = {1: "lz4_raw", 2: "snappy"}.get(kind)
+    pack = lambda x: pa.Codec(codec).compress(x).to_pybytes() if codec else zlib.compress(x) if kind == 3 else zstandard.ZstdCompressor().compress(x)
+    parts = []
+    for k in range(0, len(data), block):
+        own = data[k : k + block]
+        if shuffle:
+            many = len(own) // item
+            own = np.frombuffer(own[: many * item], np.uint8).reshape(many, item).T.tobytes() + own[many * item :]
+        n = item if split and len(own) == block and block // item >= 128 else 1
+        out = b""
+        for s in range(n):
+            piece = own[s * len(own) // n : (s + 1) * len(own) // n]
+            packed = pack(piece)
+            packed = packed if len(packed) < len(piece) else piece
+            out += struct.pack("<i", len(packed)) + packed
+        parts.append(out)
+    starts, at = [], 16 + 4 * len(parts)
+    for p in parts:
+        starts.append(at)
+        at += len(p)
+    body = b"".join(struct.pack("<i", s) for s in starts) + b"".join(parts)
+    return struct.pack("<BBBBIII", 2, 1, kind << 5 | shuffle | (not split) << 4, item, len(data), block, 16 + len(body)) + body
+
+
+def test_blosc_frames_checksums_and_shards(spark, tmp_path):
+    data = np.arange(5000, dtype="<f4").tobytes() + np.random.default_rng(0).bytes(60)
+    for kind, split, shuffle in itertools.product((1, 2, 3, 4), (True, False), (True, False)):
+        assert codecs.blosc(frame_of(data, 4, 4096, kind, shuffle, split)) == data
+    assert codecs.blosc(struct.pack("<BBBBIII", 2, 1, 2, 4, 5, 5, 21) + b"hello") == b"hello"
+    with pytest.raises(ValueError):
+        codecs.blosc(struct.pack("<BBBBIII", 2, 1, 0, 4, 5, 5, 21) + b"hello")
+    assert codecs.crc32c(b"123456789") == 0xE3069283
+    with pytest.raises(ValueError):
+        codecs.checked(b"123456789\0\0\0\0")
+    # version 2 with Blosc
+    (tmp_path / "b").mkdir()
+    x = np.arange(6 * 300, dtype="<f4").reshape(6, 300)
+    (tmp_path / "b" / ".zarray").write_text(json.dumps({"zarr_format": 2, "shape": [6, 300], "chunks": [3, 300], "dtype": "<f4", "compressor": {"id": "blosc", "cname": "lz4"}, "fill_value": 0, "order": "C", "filters": None}))
+    for k in range(2):
+        (tmp_path / "b" / f"{k}.0").write_bytes(frame_of(x[3 * k : 3 * k + 3].tobytes(), 4, 1200, 1))
+    assert np.array_equal(values(ztensor.read_samples(spark, str(tmp_path), ["b"])["b"], (300,)).astype("f4"), x)
+    # version 3 with shards of 2 x 2 inner chunks, one of them absent
+    (tmp_path / "s" / "c" / "0").mkdir(parents=True)
+    y = np.arange(16, dtype="<f4").reshape(4, 4)
+    little, crc = {"name": "bytes", "configuration": {"endian": "little"}}, {"name": "crc32c"}
+    meta = {"zarr_format": 3, "node_type": "array", "shape": [4, 4], "data_type": "float32", "chunk_grid": {"name": "regular", "configuration": {"chunk_shape": [4, 4]}}, "fill_value": -1, "codecs": [{"name": "sharding_indexed", "configuration": {"chunk_shape": [2, 2], "codecs": [little, crc], "index_codecs": [little, crc]}}]}
+    (tmp_path / "s" / "zarr.json").write_text(json.dumps(meta))
+    body, index = b"", b""
+    for i, j in itertools.product(range(2), range(2)):
+        raw = y[2 * i : 2 * i + 2, 2 * j : 2 * j + 2].tobytes()
+        raw += struct.pack("<I", codecs.crc32c(raw))
+        index += struct.pack("<QQ", 2**64 - 1, 2**64 - 1) if (i, j) == (1, 0) else struct.pack("<QQ", len(body), len(raw))
+        body += b"" if (i, j) == (1, 0) else raw
+    (tmp_path / "s" / "c" / "0" / "0").write_bytes(body + index + struct.pack("<I", codecs.crc32c(index)))
+    y[2:, :2] = -1
+    assert np.array_equal(values(ztensor.read_samples(spark, str(tmp_path), ["s"])["s"], (4,)).astype("f4"), y)
+
+
+def test_written_by_tasks_and_read_without_a_shuffle(spark, tmp_path):
+    df = frame(spark, RAGGED).repartition(3)
+    assert ztensor.write_samples(df, str(tmp_path), "x", 5, (9, 7), (2, 4, 4), codec="zstd") == (3, 18)
+    got = ztensor.read_samples(spark, str(tmp_path), transforms=(Halve(),))["x"]
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert np.allclose(values(got, (4, 3)), RAGGED[:, :8, :6].reshape(5, 4, 2, 3, 2).mean((2, 4)))
+    with pytest.raises(Exception, match="declare output_inner"):
+        ztensor.read_samples(spark, str(tmp_path), transforms=(drop_column,))["x"].count()
+
+
+def test_dataset_opened_from_a_store(spark, tmp_path):
+    url = str(tmp_path / "z")
+    ztensor.write_array(url, "a", np.arange(40 * 4, dtype="f4").reshape(40, 4), (8, 4), codec="zstd")
+    (tmp_path / "z" / "a" / "c" / "1" / "0").write_bytes(b"\0\1\2\3")
+    m = split_by_chunk(40, 8, (1.0, 0.0, 0.0))
+    ds = Dataset.open(spark, url, {"x": "a", "y": ("a", 1)}, m, on_bad_chunk="nan", batch_size=4, max_batches=3, shuffle=False)
+    rows = ds.train.orderBy("draw_pos").collect()
+    assert [r.anchor for r in rows] == list(range(12)) and np.isnan(rows[7].y).all() and np.isnan(rows[8].x).all() and rows[0].y == [4.0, 5.0, 6.0, 7.0]
+    assert [tuple(r) for r in ds.bad_chunks().collect()] == [("a", 1, [0])]
+    with pytest.raises(Exception, match="cannot be decoded"):
+        Dataset.open(spark, url, {"x": "a"}, m).train.count()
+    with pytest.raises(ValueError):
+        Dataset(spark, {"a": ds.frames["a"]}, {"x": open_geometries(url)["a"]}, m).bad_chunks()
+    add = lambda name, x, first: x + 1
+    runs = [Dataset.open(spark, url, {"x": "a"}, m, on_bad_chunk="nan", chunk_transforms=(add,), cache_dir=str(tmp_path / "cache")) for _ in range(2)]
+    assert runs[1].caches["a"].hits == 5 and runs[1].train.where("anchor = 0").first().x == [1.0, 2.0, 3.0, 4.0]
+    it = ds.iterate("train")
+    assert len(next(it)) == 4
+    it.close()  # an early end leaves nothing behind
+    assert ds.train.count() == 12
+
+
 def test_loader_forecast_history_and_uneven_chunks(spark, tmp_path):
     n = 48
     a, b = (np.arange(n * 9, dtype="f4").reshape(n, 3, 3) + k for k in (0, 1000))

@@ -1,42 +1,56 @@
 """Index arithmetic, splits and orders: properties, and brute force."""
 
 import collections
+import hashlib
+import json
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from gridloom.operators import ordering
-from gridloom.plans.geometry import Geometry, chunks_read, valid_anchors, working_set
-from gridloom.plans.split import Manifest, split_by_chunk
+from gridloom.plans import geometry
+from gridloom.plans.geometry import Geometry, Grid, chunks_read, valid_anchors
+from gridloom.plans.ranks import before, ranked, ranked_by_hash
+from gridloom.plans.split import SPLITS, Manifest, split_by_chunk
 
 
 @given(st.integers(1, 400), st.integers(1, 40))
 def test_chunks_cover_samples_once(n, spc):
     g = Geometry("x", (n, 5), (spc, 2))
-    assert [i for c in range(g.n_chunks) for i in g.samples_in_chunk(c)] == list(range(n))
-    assert all(i in g.samples_in_chunk(g.chunk_of(i)) for i in range(n))
+    assert [i for c in range(g.n_chunks) for i in g.samples(c)] == list(range(n))
+    assert all(i in g.samples(i // spc) for i in range(n))
 
 
 @given(st.lists(st.integers(1, 9), min_size=2, max_size=3), st.data())
-def test_tiles_cover_a_chunk_once(shape, data):
+def test_tiles_cover_an_array_once(shape, data):
     chunks = [data.draw(st.integers(1, s + 1)) for s in shape]
     axis = data.draw(st.integers(0, len(shape) - 1))
-    g = Geometry("x", tuple(shape), tuple(chunks), sample_axis=axis)
+    g = Geometry("x", tuple(shape), tuple(chunks), "<i8", sample_axis=axis)
+    whole = np.arange(np.prod(shape)).reshape(shape)
+    found = []
     for c in range(g.n_chunks):
-        seen = collections.Counter()
-        for inner in g.inner_coords():
-            to, part = g.tile_placement(c, inner)
-            assert [s.stop - s.start for s in to] == [s.stop - s.start for s in part]
-            size = 1
-            for s in to:
-                size *= s.stop - s.start
-            seen[inner] = size
-        want = 1
-        for k in g.slot_shape(c):
-            want *= k
-        assert sum(seen.values()) == want
-    assert len({g.physical_coord(0, i) for i in g.inner_coords()}) == g.n_inner_chunks
+        out = np.full((len(g.samples(c)), *g.field), -1)
+        for cell in g.tiles(c):
+            found.append(cell)
+            part = whole[tuple(slice(r.start, r.stop) for r in g.grid.box(cell))]
+            tile = np.full(chunks, -2)
+            tile[tuple(map(slice, part.shape))] = part
+            g.scatter(cell, tile, out)
+        assert np.array_equal(out, np.moveaxis(whole, axis, 0)[g.samples(c).start : g.samples(c).stop])
+    assert sorted(found) == list(np.ndindex(*g.grid.counts))
+
+
+def test_frames_say_what_geometries_say(spark):
+    found = {"a": Geometry("p", (11, 9, 7), (4, 4, 4), sample_axis=1, offset=2), "b": Geometry("q", (9,), (2,), "<f8")}
+    rows = {r.label: r for r in geometry.measured(geometry.frame(spark, found)).collect()}
+    for k, g in found.items():
+        assert (rows[k].n_samples, rows[k].spc, rows[k].n_chunks, tuple(rows[k].inner_shape)) == (g.n_samples, g.sample_chunk_size, g.n_chunks, g.field)
+    tiles = {(r.label, r.chunk_index, tuple(r.cell)): (r.key, tuple(r.box)) for r in geometry.tile_rows(geometry.frame(spark, found)).collect()}
+    want = {(k, c, cell): ("c/" + "/".join(map(str, cell)), tuple(map(len, g.grid.box(cell)))) for k, g in found.items() for c in range(g.n_chunks) for cell in g.tiles(c)}
+    assert tiles == want
 
 
 @given(st.integers(1, 60), st.lists(st.integers(-30, 30), max_size=4))
@@ -48,16 +62,37 @@ def test_valid_anchors(n, offsets):
 @given(st.integers(1, 60), st.integers(1, 9), st.integers(1, 9), st.integers(-20, 20), st.integers(0, 9))
 def test_chunks_read(n, ref, spc, offset, chunk):
     want = {(t + offset) // spc for t in range(chunk * ref, min((chunk + 1) * ref, n)) if 0 <= t + offset < n}
-    assert set(chunks_read(chunk, ref, offset, spc, n)) == want
+    assert set(chunks_read(Grid((n,), (ref,)).piece(0, chunk), offset, Grid((n,), (spc,)))) == want
 
 
-def test_geometry_checks():
-    with pytest.raises(ValueError):
-        Geometry("x", (3,), (1,), sample_axis=1)
+def test_geometry_checks(spark):
+    for bad in (((3,), (1,), 1), ((3, 2), (1,), 0)):
+        with pytest.raises(ValueError):
+            Geometry("x", bad[0], bad[1], sample_axis=bad[2])
     g = Geometry("x", (20, 4), (4, 4)).shift(3).shift(-1)
-    assert g.offset == 2
-    assert working_set([Geometry("x", (1000, 4), (10, 4))], 4, 80, 10, True) == 2 * 4 * 160
-    assert working_set([Geometry("a", (100,), (1,)), Geometry("b", (100,), (8,))], 2, 50, 1, False) == (5 + (1 + 1) * 8) * 4
+    assert g.offset == 2 and g.chunk_bytes == 64
+    need = lambda found, *how: geometry.residency(geometry.frame(spark, dict(enumerate_labels(found))), *how).first().bytes
+    assert need([Geometry("x", (1000, 4), (10, 4))], 4, 80, 10, True) == 2 * 4 * 160
+    x = Geometry("x", (1000, 4), (10, 4))
+    assert need([x, x.shift(15)], 4, 80, 10, False) == 2 * 4 * (2 + 2) * 320 and need([x, x.shift(1)], 4, 80, 10, True) == 80 * 320
+    assert need([Geometry("a", (100,), (1,)), Geometry("b", (100,), (8,))], 2, 50, 1, False) == (5 + (1 + 1) * 8) * 4
+
+
+def enumerate_labels(found):
+    return ((f"l{k}", g) for k, g in enumerate(found))
+
+
+def test_ranks_in_parts(spark, monkeypatch):
+    from gridloom.plans import ranks
+
+    monkeypatch.setattr(ranks, "WIDE", 7)
+    ids = sorted(np.random.default_rng(0).choice(200, 60, replace=False).tolist())
+    df = spark.createDataFrame([(i, i % 5) for i in ids], "id long, v long")
+    assert [(r.id, r.k) for r in ranked(df, "id", "k").orderBy("id").collect()] == [(i, k) for k, i in enumerate(ids)]
+    sums = [(r.id, r.s) for r in before(df, "id", F.col("v"), "s").orderBy("id").collect()]
+    assert sums == [(i, sum(j % 5 for j in ids if j < i)) for i in ids]
+    order = [r.id for r in ranked_by_hash(df, "id", F.md5(F.col("id").cast("string")), "k").orderBy("k").collect()]
+    assert order == sorted(ids, key=lambda i: (hashlib.md5(str(i).encode()).hexdigest(), i))
 
 
 @given(st.integers(1, 500), st.integers(1, 20), st.sampled_from([(0.8, 0.1, 0.1), (0.5, 0.5, 0.0), (1.0, 0.0, 0.0), (1 / 3, 1 / 3, 1 / 3)]))
@@ -73,10 +108,27 @@ def test_split_errors_and_json(tmp_path):
     m = split_by_chunk(1000, 10, sample_range=(95, 505), contiguous=False, seed=4)
     assert (m.first, sum(m.counts)) == (9, 42)
     m.to_json(str(tmp_path / "m.json"))
-    assert Manifest.from_json(str(tmp_path / "m.json")) == m
+    again = Manifest.from_json(str(tmp_path / "m.json"))
+    assert again.listed() == m.listed() and (again.n_chunks, again.counts, again.seed) == (100, m.counts, 4)
+    body = json.loads((tmp_path / "m.json").read_text())
+    assert set(body) == {"n_chunks", "sample_chunk_size", "n_samples", "chunks", "seed"} and set(body["chunks"]) == set(SPLITS)
+    body["chunks"]["val"] = body["chunks"]["train"][:1]
+    (tmp_path / "bad.json").write_text(json.dumps(body))
+    with pytest.raises(ValueError):
+        Manifest.from_json(str(tmp_path / "bad.json"))
     assert split_by_chunk(50, 10, (0.5, 0.5, 0.0)).counts == (2, 2, 1)
 
 
+def test_lists_and_rules_agree(spark, tmp_path):
+    for contiguous in (True, False):
+        m = split_by_chunk(1003, 10, contiguous=contiguous, seed=2)
+        m.to_json(str(tmp_path / "m.json"))
+        listed = Manifest.from_json(str(tmp_path / "m.json"))
+        rows = [sorted(map(tuple, x.chunks(spark).collect())) for x in (m, listed)]
+        assert rows[0] == rows[1] == sorted((s, c) for s, own in m.listed().items() for c in own)
+        assert listed.sample_indices(spark, "val").count() == m.sample_indices(spark, "val").count()
+
+
 def test_split_disjoint_and_whole(spark):
     for m in (split_by_chunk(1003, 10), split_by_chunk(1003, 10, contiguous=False, seed=1)):
         rows = m.sample_indices(spark).collect()
