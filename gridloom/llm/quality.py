@@ -138,8 +138,9 @@ def fit(texts: list[str], labels: list[int]) -> Model:
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model:
     """Learns from labels.quality of rows whose crc32(doc_id) mod 3 is not 1; at most ``most`` rows come to the driver, drawn by id and text, so
     an id that many rows of docs or labels share counts no more than others. Of an id with both labels, both count."""
-    own = labels.select("doc_id", "quality").where((bucket() % 3 != 1) & F.col("quality").isin(0, 1)).distinct()
-    rows = draw(docs.select("doc_id", "text").join(own, "doc_id"), most, "quality")
+    own = labels.select("doc_id", "quality", F.col("doc_id").cast("string").alias("text")).where((bucket() % 3 != 1) & F.col("quality").isin(0, 1)).distinct()
+    ids = labels.sparkSession.createDataFrame([(r.doc_id, r._label) for r in draw(own, most, "quality")], "doc_id long, quality int")
+    rows = draw(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id"), most, "quality")  # at most `most` ids
     return fit([r.text for r in rows], [r._label for r in rows])
 
 
