@@ -10,6 +10,7 @@ import zipfile
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+_ROOTS: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -28,11 +29,26 @@ def ship(spark: SparkSession) -> None:
     sc.addPyFile(out)
 
 
-def fresh_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in spark.checkpoint.dir; where that is unset, a local one, which only local mode may use."""
+def shared_root(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; where that is unset, a folder of our own, which only local mode may use."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="gridloom-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _ROOTS.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="gridloom-shared-"))
+
+
+def own_folder(spark: SparkSession) -> str:
+    """A new folder in the shared one, which goes when the driver's JVM ends: what is read from it is read by then."""
+    path = f"{shared_root(spark)}/gridloom-{uuid.uuid4().hex}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return path
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A path in a folder of its own, where nothing lies yet."""
+    return f"{own_folder(spark)}/{name}"
