@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,9 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.shared import ship
-
-_ROOTS: dict[str, str] = {}
+from ..sources.shared import own_folder, ship
 
 #: Bytes of text that one numpy step works on; bounds a worker's memory whatever the batch holds.
 STEP_BYTES = 1 << 20
@@ -28,21 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset, a folder of our own, which only local mode may use."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return _ROOTS.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="gridloom-shared-"))
-
-
 class Scratch:
-    """Tables written below the shared folder: they cut lineage, and outlive any executor."""
+    """Tables written below the shared folder: they cut lineage, and outlive any executor, but not the driver."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.top, self.paths = spark, f"{shared_root(spark).rstrip('/')}/gridloom-{uuid.uuid4().hex}", {}
+        self.spark, self.top, self.paths = spark, own_folder(spark), {}
 
     def path(self, name: str) -> str:
         return f"{self.top}/{name}-{uuid.uuid4().hex[:8]}"
