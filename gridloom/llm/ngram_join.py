@@ -505,3 +505,19 @@ def ngram_jaccard_keep(docs: DataFrame) -> DataFrame:
         empty = rows.where("_n = 0").dropDuplicates(["_id", "_text"])
         kept = kept.unionByName(sets.select(*docs.columns)).unionByName(empty.select(*docs.columns))
     return kept.unionByName(docs.where("doc_id is null"))
+
+
+#: The same in DuckDB's SQL: shingle sets, links by their overlaps, and components by reaching.
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) ELSE [array_to_string(w, ' ')] END) AS g
+  FROM w WHERE len(w) > 0
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+), e AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 75 * (x.n + y.n - o)
+), r AS (SELECT doc_id AS v, doc_id AS c FROM n UNION SELECT e.b, r.c FROM r JOIN e ON r.v = e.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(least(c.c, d.doc_id), d.doc_id) AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT v, min(c) AS c FROM r GROUP BY v) c ON c.v = d.doc_id
+"""

@@ -73,4 +73,4 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALL = (op1_ngram_jaccard, op2_pii, op3_html_text, op4_nearest, op5_decontamination, op6_reshard, op7_token_orc, op8_sentencepiece, op9_quality, op10_language)
 QUERIES = {f.__name__: f for f in _ALL}
 
-ORACLE_SQL = {"op5_decontamination": containment.SQL}
+ORACLE_SQL = {"op1_ngram_jaccard": ngram_join.SQL, "op5_decontamination": containment.SQL}

@@ -312,3 +312,11 @@ def test_registered_languages_and_quality_are_those_of_their_models(spark):
         raw = (texts[r.doc_id] or "").encode()
         score = model.score(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]
         assert abs(score - r.score) < 1e-9 and r.predicted == int(r.score >= 0.5)
+
+
+def test_registered_join_is_its_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    assert sorted(con.execute(registry.ORACLE_SQL["op1_ngram_jaccard"]).fetchall()) == sorted(map(tuple, registry.op1_ngram_jaccard(spark, SF).collect()))
