@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FORMAT = 2
@@ -26,6 +26,17 @@ def bare_name(name: str | None) -> bool:
     return bool(name) and name not in (".", "..") and not set(name) & set("/\\\0")
 
 
+def bare(name: Column) -> Column:
+    """The same of a column of names; a null is no name."""
+    return F.coalesce(name.rlike(r"^[^/\\\\\x00]+\z") & ~name.isin(".", ".."), F.lit(False))
+
+
+def file_name(name: Column) -> Column:
+    """A name that any store takes: what is no ASCII letter, digit, dot, underscore or hyphen becomes an underscore. Names that differ may
+    become one, so a fingerprint goes with it where they must stay apart."""
+    return F.regexp_replace(name, "[^A-Za-z0-9_.-]", "_")
+
+
 class ChunkCache:
     """Samples (sample_index, value) by chunk below path. Counters: hits, misses, mismatches (listed chunks whose samples are not the listed
     number, or whose folder's name is no bare name) and missing (listed chunks whose folder is gone); both are computed again."""

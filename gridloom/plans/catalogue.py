@@ -22,7 +22,7 @@ from ..sources import references, ztensor
 from ..sources.shared import fresh_folder
 from ..sources.stores import filesystem
 from ..streaming.windows import windowed
-from .geometry import Geometry, chunk_rows, frame, measured, residency, tile_rows, valid_anchors
+from .geometry import Geometry, chunk_rows, frame, measured, placed_rows, residency, tile_rows, valid_anchors
 from .split import Manifest, split_by_chunk
 
 FLAGSHIP = "gather_forecast"
@@ -710,3 +710,24 @@ def throughput_report(spark, d):
     for part in ("config.geom <= 3", "config.geom > 3"):
         reports.append_rows(rows.where(part), path)
     return reports.throughput(reports.load_rows(spark, path, "config struct<engine: string, geom: int>, mb double"), 2.0, 8, ["engine"])
+
+
+@query("""WITH g AS (SELECT count(*) n FROM embeddings),
+f AS (SELECT c, i, j, least(64, n - 64 * c) s FROM g, (SELECT unnest(range((n + 63) // 64)) c FROM g), (SELECT unnest([0, 1, 2]) i), (SELECT unnest([0, 1]) j)),
+t AS (SELECT c, i, least(30, n - 30 * c) s FROM g, (SELECT unnest(range((n + 29) // 30)) c FROM g), (SELECT unnest([0, 1]) i))
+SELECT 'field' AS label, concat('c/', c, '/', i, '/', j) AS key, concat(s, ',8,8') AS slot_shape, concat('0,', 3 * i, ',', 5 * j) AS slot_start, concat(s, ',', least(3, 8 - 3 * i), ',', least(5, 8 - 5 * j)) AS slot_size FROM f
+UNION ALL SELECT 'flat', concat('c/', i, '/', c), concat(s, ',5'), concat('0,', 4 * i), concat(s, ',', least(4, 5 - 4 * i)) FROM t""")
+def tile_placement(spark, d):
+    """Where each stored tile of two arrays goes in its chunk, the second sampled on its other axis."""
+    n = axis(spark, d, "embeddings")[1]
+    found = {"field": Geometry("field", (n, SIDE, SIDE), (64, 3, 5)), "flat": Geometry("flat", (5, n), (4, 30), sample_axis=1)}
+    text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return placed_rows(frame(spark, found)).select("label", "key", *map(text, ("slot_shape", "slot_start", "slot_size")))
+
+
+@query("""SELECT page_id, regexp_replace(url, '[^A-Za-z0-9_.-]', '_', 'g') AS file, sha256(url) AS fingerprint, coalesce(strpos(url, '/') = 0 AND strpos(url, chr(92)) = 0 AND url NOT IN ('', '.', '..'), false) AS is_bare,
+coalesce(regexp_extract(url, '[^/]*$') NOT IN ('', '.', '..') AND strpos(regexp_extract(url, '[^/]*$'), chr(92)) = 0, false) AS last_is_bare FROM pages""")
+def cache_names(spark, d):
+    """File names and fingerprints for the urls of all pages, and which urls, or last parts of them, are names of one folder's own files."""
+    url = F.col("url")
+    return read(spark, d, "pages").select("page_id", cache.file_name(url).alias("file"), F.sha2(url.cast("binary"), 256).alias("fingerprint"), cache.bare(url).alias("is_bare"), cache.bare(F.substring_index(url, "/", -1)).alias("last_is_bare"))

@@ -19,7 +19,7 @@ from gridloom import Dataset, StandardScaler, open_geometries, split_by_chunk
 from gridloom.check_transform import main
 from gridloom.functions import arrays, handoff, metrics, reports
 from gridloom.operators import transforms
-from gridloom.operators.cache import ChunkCache, StaleCache, bare_name
+from gridloom.operators.cache import ChunkCache, StaleCache, bare, bare_name
 from gridloom.operators.views import View, gather
 from gridloom.plans.geometry import Geometry
 from gridloom.sources import codecs, generators, references, stores, ztensor
@@ -458,3 +458,9 @@ def test_event_stream_equals_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(str, spark.table("windows").drop("total").collect())) == sorted(map(str, windowed(events).drop("total").collect()))
+
+
+def test_bare_names_of_a_column(spark):
+    names = ["a", "write-1", ".hidden", "", ".", "..", "a/b", "a\\b", "/", "a\0b", "a\n", "b\n/", None]
+    rows = spark.createDataFrame([(k, n) for k, n in enumerate(names)], "k int, name string")
+    assert [r.b for r in rows.select("k", bare(F.col("name")).alias("b")).orderBy("k").collect()] == [bare_name(n) for n in names]
