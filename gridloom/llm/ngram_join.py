@@ -20,6 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -381,6 +382,19 @@ def _bitmaps(keys: DataFrame, columns: list[str], many: int) -> list[bytes]:
     return [x.tobytes() for x in out]
 
 
+def _known(keys: DataFrame, column: str):
+    """An expression: may a long be in a column of keys? Only rows that pass need a shuffle to find out; a null does not pass."""
+    field = keys.sparkSession.sparkContext.broadcast(_bitmaps(keys, [column], keys.count())[0])
+
+    def run(k: pd.Series) -> pd.Series:
+        bits = np.frombuffer(field.value, np.uint8)
+        at = k.to_numpy() & (8 * len(bits) - 1)
+        return pd.Series((bits[at >> 3] >> (at & 7) & 1).astype(bool))
+
+    on = F.pandas_udf(run, "boolean")
+    return lambda c: F.when(c.isNull(), False).otherwise(on(F.coalesce(c.cast("long"), F.lit(0))))
+
+
 def _linked(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, frozenset[int]]:
     """Rows that have an id and a shingle: doc_id, fp and n_shingles of their set, comp, component_id; the other rows; and the prints that clash."""
     spark = docs.sparkSession
@@ -410,7 +424,8 @@ def _linked(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, fr
         bits, of_ids = map(sc.broadcast, _bitmaps(ends, ["fp", "rep"], ends.count()))
         whole = scratch.save(read.where("doc_id is not null").mapInArrow(_wanted(bits, of_ids, clashes), "fp long, n int, f binary, s binary"), "sets")
         left = scratch.save(_matched(pairs, whole, ["n", "f"]).mapInArrow(_possible, "a long, b long").distinct(), "possible")
-        out = scratch.save(_matched(left, whole, ["s"]).mapInArrow(_overlaps, "a long, b long"), "links")
+        known = _known(left.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp")  # whole sets are dealt only where a pair is left
+        out = scratch.save(_matched(left, whole.where(known(F.col("fp"))), ["s"]).mapInArrow(_overlaps, "a long, b long"), "links")
         scratch.drop(whole, left, ends)
         return out
 
