@@ -504,22 +504,24 @@ def _printed(clashes: frozenset[int]):
 
 def ngram_jaccard_keep(docs: DataFrame) -> DataFrame:
     """The rows of docs without near copies: of each component a row with its smallest id stays, whole and with all columns. Rows of one id
-    go only if their texts are equal or linked. Rows with a null id stay."""
+    go only if their texts are equal or linked. Rows with a null id stay. Only rows whose id may be dropped or repeated are shuffled."""
     scratch = Scratch(docs.sparkSession)
     linked, alone, clashes = _linked(docs, scratch)
     found = linked.select("doc_id", (F.col("doc_id") == F.col("component_id")).alias("own")).unionAll(alone.where("doc_id is not null").select("doc_id", F.lit(True).alias("own")))
     ids = scratch.save(found.groupBy("doc_id").agg(F.count("*").alias("m"), F.max("own").alias("own")), "ids")
-    kept = docs.join(ids.where("m = 1 and own").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    known = _known(ids.where("m > 1 or not own"), "doc_id")(F.col("doc_id"))
+    doubtful = docs.where(known)
+    kept = docs.where(~known).unionByName(doubtful.join(ids.where("m = 1 and own").select("doc_id"), "doc_id", "left_semi").select(*docs.columns))
     many = ids.where("m > 1").select("doc_id")
     if not many.isEmpty():  # which row of a repeated id stays is said by its set
         first = linked.where("doc_id = component_id").join(many, "doc_id", "left_semi").groupBy("comp").agg(F.min(F.struct("doc_id", "fp", "n_shingles")).alias("k"))
         first = first.select(F.col("k.doc_id").alias("_id"), F.col("k.fp").alias("_fp"), F.col("k.n_shingles").cast("long").alias("_n"))
-        rows = docs.join(many, "doc_id", "left_semi").select(*docs.columns, F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text"))
+        rows = doubtful.join(many, "doc_id", "left_semi").select(*docs.columns, F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text"))
         rows = rows.mapInArrow(_printed(clashes), T.StructType([*rows.schema.fields, T.StructField("_fp", T.LongType()), T.StructField("_n", T.LongType())]))
         sets = rows.where("_n > 0").join(first, ["_id", "_fp", "_n"], "left_semi").dropDuplicates(["_id", "_fp", "_n"])
         empty = rows.where("_n = 0").dropDuplicates(["_id", "_text"])
         kept = kept.unionByName(sets.select(*docs.columns)).unionByName(empty.select(*docs.columns))
-    return kept.unionByName(docs.where("doc_id is null"))
+    return kept
 
 
 #: The same in DuckDB's SQL: shingle sets, links by their overlaps, and components by reaching.
