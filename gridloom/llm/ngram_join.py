@@ -9,7 +9,9 @@ satisfy 7 o >= 3 (a + b), which is Jaccard >= 0.75. The product is never formed
    is first multiplied sparsely (every row with the first row of its size band and with its neighbour by size). The kept pairs are
    multiplied over folded columns (ranges of hashes), an upper bound that few unlike pairs reach, then over all columns, and linked
    rows are joined to components.
-3. Then every pair of rows of *different* components that share a column is multiplied, in blocks of at most ``BLOCK`` rows of a
+3. While columns that still hold several components are long, rows of other components are multiplied with a few members of each large
+   one (``PIVOTS``, then sixteen times as many in each round), as one link of many joins a row to its group and spares the others.
+4. Then every pair of rows of *different* components that share a column is multiplied, in blocks of at most ``BLOCK`` rows of a
    column, so no link between components is missed; pairs inside a component cannot change the result and are not formed.
 
 The column order only decides the cost: it ranks shingles by a table of the ``RANKED`` most frequent ones, of fixed size.
@@ -42,8 +44,8 @@ LONG = 64
 EARLIER = 4
 #: Runs of other components that a row looks back on in a sparse round.
 DEPTH = 4
-#: Sparse rounds at most.
-ROUNDS = 1
+#: Members of a component that stand for it in the first round after the sparse one.
+PIVOTS = 128
 #: Most frequent shingles whose frequency the column order knows.
 RANKED = 1 << 17
 #: Bits of the filters by which the second reading of the texts finds rows that have a candidate, at least and at most (64 MB); a false hit only
@@ -283,9 +285,10 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All pairs of rows of different components in a block (of one column, sorted by size) that may link.
 
-    A row knows the last EARLIER columns that it has before this one; two rows that share one of those meet there, or yet earlier.
+    A row knows the last EARLIER columns that it has before this one; two rows that share one of those meet there, or yet earlier. One of the two
+    has to lead.
     """
-    for h, i, j, n, fp, pos, blk, comp, *earlier in _runs(batches, 3, 1 << 60):
+    for h, i, j, n, fp, pos, blk, comp, leads, *earlier in _runs(batches, 3, 1 << 60):
         group = np.zeros(len(h), np.int64)
         group[1:] = np.cumsum((h[1:] != h[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))
         a, d = np.arange(len(h)), 1
@@ -296,7 +299,7 @@ def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = a[on], b[on]
             if not len(a):
                 break
-            ok = (comp[a] != comp[b]) & ((blk[a] != blk[b]) | (i[a] == j[a])) & _may_link(n[a], pos[a], n[b], pos[b])
+            ok = (comp[a] != comp[b]) & (leads[a] | leads[b]) & ((blk[a] != blk[b]) | (i[a] == j[a])) & _may_link(n[a], pos[a], n[b], pos[b])
             x, y = a[ok], b[ok]
             for e in earlier if len(x) else ():
                 known = e[x] != 0
@@ -424,14 +427,15 @@ def _linked(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, fr
         bits, of_ids = map(sc.broadcast, _bitmaps(ends, ["fp", "rep"], ends.count()))
         whole = scratch.save(read.where("doc_id is not null").mapInArrow(_wanted(bits, of_ids, clashes), "fp long, n int, f binary, s binary"), "sets")
         left = scratch.save(_matched(pairs, whole, ["n", "f"]).mapInArrow(_possible, "a long, b long").distinct(), "possible")
-        known = _known(left.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp")  # whole sets are dealt only where a pair is left
+        in_left = scratch.save(left.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "ends")
+        known = _known(in_left, "fp")  # whole sets are dealt only where a pair is left
         out = scratch.save(_matched(left, whole.where(known(F.col("fp"))), ["s"]).mapInArrow(_overlaps, "a long, b long"), "links")
-        scratch.drop(whole, left, ends)
+        scratch.drop(whole, left, in_left, ends)
         return out
 
     links = linked(tried)
 
-    last, found_more, rounds, base = False, True, 0, shared
+    last, found_more, pivots, base = False, True, PIVOTS, shared
     while not last:
         comps = scratch.save(components(links, scratch), "comps")
         rows = base.join(comps.withColumnsRenamed({"v": "fp", "c": "comp"}), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
@@ -441,16 +445,21 @@ def _linked(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, fr
         some = rows.agg(F.count("*"), F.sum("m")).first()
         if not some[0]:
             break
-        # Sparse rounds go on while they join components and the columns left are long, ROUNDS times at most; what they leave is multiplied whole.
-        last, rounds = some[1] <= LONG * some[0] or not found_more or rounds == ROUNDS, rounds + 1
+        # Rounds go on while they join components and the columns left are long, with more and more members of those components that have more than
+        # that; what they leave is multiplied whole.
+        large = scratch.save(comps.groupBy(F.col("c").alias("comp")).agg(F.count("*").alias("size")).where(F.col("size") > pivots), "large")
+        last = some[1] <= LONG * some[0] or not found_more or large.isEmpty()
+        before = Window.partitionBy("fp").orderBy("pos")
+        rows = rows.select("*", *(F.coalesce(F.lag("h", k).over(before), F.lit(0)).alias(f"e{k}") for k in range(1, EARLIER + 1)))
         if last:
-            other = F.explode(F.sequence(F.lit(0), F.col("top")))
-            before = Window.partitionBy("fp").orderBy("pos")
-            rows = rows.select("*", *(F.coalesce(F.lag("h", k).over(before), F.lit(0)).alias(f"e{k}") for k in range(1, EARLIER + 1)))
-            dealt = rows.withColumn("o", other).select("h", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "n", "fp", "pos", "blk", "comp", *(f"e{k}" for k in range(1, EARLIER + 1)))
-            pairs = dealt.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "n", "fp").mapInArrow(_full, "a long, b long")
+            rows = rows.withColumn("leads", F.lit(True))
         else:
-            pairs = rows.select("h", "n", "fp", "pos", "comp").repartition("h").sortWithinPartitions("h", "n", "fp").mapInArrow(_sparse, "a long, b long")
+            rows = rows.join(large, "comp", "left").where(F.col("size").isNull() | (F.pmod(F.xxhash64("fp"), "size") < pivots)).withColumn("leads", F.col("size").isNotNull())
+            pivots *= 16
+        columns = ["n", "fp", "pos", "blk", "comp", "leads", *(f"e{k}" for k in range(1, EARLIER + 1))]
+        other = F.explode(F.sequence(F.lit(0), F.col("top")))
+        dealt = rows.withColumn("o", other).select("h", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), *columns)
+        pairs = dealt.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "n", "fp").mapInArrow(_full, "a long, b long")
         new = scratch.save(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "tried")
         found = linked(new)
         found_more = last or not found.isEmpty()

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from gridloom.llm import html_text, ngram_join, registry
+from gridloom.llm.common import Scratch
 
 
 def test_copies_of_an_unmarked_page_keep_their_text(spark):
@@ -61,3 +62,28 @@ def test_rows_of_a_repeated_id_are_kept_by_their_text(spark):
     for order in (rows, rows[::-1]):
         kept = ngram_join.ngram_jaccard_keep(spark.createDataFrame(order, "doc_id long, text string").coalesce(1)).collect()
         assert sorted((r.doc_id or 0, r.text) for r in kept) == [(0, a), (1, a), (12, b), (13, c), (13, d), (14, "")]
+
+
+def test_pairs_of_a_group_of_near_copies_do_not_grow_with_its_square(spark, monkeypatch):
+    """One copy in ten has one word changed, the others three each: these link with the tenth, hardly with each other."""
+    made, save = [], Scratch.save
+
+    def counted(self, df, name):
+        out = save(self, df, name)
+        if name == "tried":
+            made[-1] += out.count()
+        return out
+
+    monkeypatch.setattr(Scratch, "save", counted)
+    r = np.random.default_rng(4)
+    rows = []
+    for i in range(800):
+        words = [f"w{k}" for k in range(150)]
+        for at in r.choice(150, 1 if i % 10 == 0 else 3, replace=False):
+            words[at] = f"c{i}a{at}"
+        rows.append((i, " ".join(words)))
+    for many in (400, 800):
+        made.append(0)
+        got = ngram_join.ngram_jaccard_components(spark.createDataFrame(rows[:many], "doc_id long, text string")).collect()
+        assert [(x.doc_id, x.component_id) for x in sorted(got)] == [(i, 0) for i in range(many)]
+    assert made[1] < 2.6 * made[0], made
