@@ -7,7 +7,7 @@ Otherwise the host decides: the token streams of its pages are concatenated, a s
 by their first ``LONG`` tokens, places whose next ``LONG`` tokens also stand in another page are covered, and covered runs are removed as
 boilerplate; unique runs stay. Inside a marked article repetition is not held against the text: articles are copied between pages.
 
-Pages are parsed where they are read. Only hosts that have a page without a marked article are gathered: their texts, not their html, are
+Pages are parsed where they are read. All hosts are gathered, those whose pages all mark their article too: their texts, not their html, are
 dealt to blocks of about ``BLOCK_BYTES``, so one host of any size is spread over as many tasks. The suffix array serves hosts of one
 block. For those of more, a hash of every run of ``LONG`` tokens is dealt with a print of its page's stream to buckets; runs that two
 different streams of the host share go back to the blocks that hold them. Both find the same runs, so blocks do not show.
@@ -311,7 +311,7 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract(pages: DataFrame) -> DataFrame:
     """pages (page_id, url, html, ...) -> page_id, url, text, n_chars, n_repeated (tokens of a marked article that other pages of the host
-    repeat in long runs; null on hosts all of whose pages mark theirs, where repetition decides nothing), a row for each row of pages.
+    repeat in long runs; they stay in the text), a row for each row of pages.
 
     A null html is empty and gives an empty text. Pages whose url is null or has no host are a host of their own. Other columns are not
     read. Rows may repeat; copies of one page count as one page. A page of any length is held by one worker while it is parsed.
@@ -321,12 +321,7 @@ def extract(pages: DataFrame) -> DataFrame:
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     read = pages.select(host.alias("host"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     parsed = scratch.save(read.mapInArrow(_parsed, _PARSED), "parsed")
-    asked = scratch.save(parsed.where("not marked and text <> ''").select("host").distinct(), "hosts")
-    alone = parsed if asked.isEmpty() else parsed.join(asked, "host", "left_anti")
-    done = alone.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), F.lit(None).cast("long").alias("n_repeated"))
-    if asked.isEmpty():
-        return done
-    rows = parsed.join(asked, "host", "left_semi").withColumn("slot", F.pmod(F.xxhash64("host"), F.lit(SLOTS)))
+    rows = parsed.withColumn("slot", F.pmod(F.xxhash64("host"), F.lit(SLOTS)))
     parts = rows.groupBy("slot").agg(F.sum(F.octet_length("text")).alias("bytes")).withColumn("parts", F.ceil(F.col("bytes") / BLOCK_BYTES)).where("parts > 1")
     parts = scratch.save(parts, "parts")
     many = parts.agg(F.sum("bytes")).first()[0] or 0
@@ -341,4 +336,4 @@ def extract(pages: DataFrame) -> DataFrame:
         scratch.release()
         dealt = dealt.unionByName(repeated.withColumn("kind", F.lit(0)), allowMissingColumns=True)
     dealt = dealt.repartition("block").sortWithinPartitions("block", "kind", "host", "salt", "page_id")
-    return done.unionByName(dealt.mapInArrow(_extracted, _OUT))
+    return dealt.mapInArrow(_extracted, _OUT)

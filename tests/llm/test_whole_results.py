@@ -16,6 +16,13 @@ def test_copies_of_an_unmarked_page_keep_their_text(spark):
     assert sorted((r.page_id, r.text, r.n_repeated) for r in got) == [(1, text, 0), (1, text, 0), (2, text, 0), (3, "another text", 0)]
 
 
+def test_hosts_of_marked_pages_alone_are_searched_for_repeated_runs(spark):
+    shared = " ".join(f"s{i}" for i in range(9))
+    rows = [(i, f"http://h/{i}", f"<article><p>{shared}</p><p>own{i}</p></article>") for i in range(2)] + [(2, "http://g/2", f"<article><p>{shared}</p></article>"), (3, None, None)]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id, r.text, r.n_repeated) for r in got) == [(0, f"{shared}\nown0", 9), (1, f"{shared}\nown1", 9), (2, shared, 0), (3, "", 0)]
+
+
 def test_a_host_in_blocks_gives_what_a_host_in_one_gives(spark, monkeypatch):
     """Runs shared by pages of different blocks, copies, pages with an article and without, a second host."""
     r = np.random.default_rng(3)
