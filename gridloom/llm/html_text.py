@@ -7,32 +7,38 @@ Otherwise the host decides: the token streams of its pages are concatenated, a s
 by their first ``LONG`` tokens, places whose next ``LONG`` tokens also stand in another page are covered, and covered runs are removed as
 boilerplate; unique runs stay. Inside a marked article repetition is not held against the text: articles are copied between pages.
 
-Pages are parsed where they are read. All hosts are gathered, those whose pages all mark their article too: their texts, not their html, are
-dealt to blocks of about ``BLOCK_BYTES``, so one host of any size is spread over as many tasks. The suffix array serves hosts of one
-block. For those of more, a hash of every run of ``LONG`` tokens is dealt with a print of its page's stream to buckets; runs that two
-different streams of the host share go back to the blocks that hold them. Both find the same runs, so blocks do not show.
+All hosts are searched, those whose pages all mark their article too. Pages are parsed where they are read, once for each pass, so that
+nothing but the packed main texts (Zstandard) and the runs below is ever on disk. Texts are dealt to blocks of about ``BLOCK_BYTES``: a host
+that fits is one block; a longer one is dealt by its pages' streams, so copies of a page meet in one block (a stream whose copies alone are
+longer has blocks of its own). The suffix array runs over each block. Runs that two blocks of a host share are found by dealing a hash of
+every run of ``LONG`` tokens, sorted and coded by differences, to buckets; what two blocks hold goes back to them. Both find the runs that
+two different streams of the host share, so blocks do not show.
 """
 
 from __future__ import annotations
 
 import html as entities
+import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, ship, steps
+from .common import Scratch, ship, steps, trim
 
 #: Tokens of the shortest repeated run that is boilerplate: a power of two.
 LONG = 8
 #: Bytes of text whose suffix array is built at once.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
 #: Bytes of text whose runs are counted in one bucket.
 BUCKET_BYTES = 16 << 20
+#: Bytes of text that a task packs at once.
+PACK_BYTES = 16 << 20
 #: Hosts share this many slots, whose bytes say into how many blocks their hosts are dealt.
 SLOTS = 1 << 20
 
@@ -121,8 +127,9 @@ def blocks(page: str) -> tuple[list[str], bool]:
     return out[""], False
 
 
-def covered(streams: list[np.ndarray]) -> list[np.ndarray]:
-    """For each page's token hashes which tokens lie in a run of LONG tokens that another page has too."""
+def covered(streams: list[np.ndarray], also: np.ndarray | None = None) -> list[np.ndarray]:
+    """For each page's token hashes which tokens lie in a run of LONG tokens that another page has too, or that starts at a place of ``also``
+    (places in all streams, one after another)."""
     size = [len(s) for s in streams]
     n = sum(size)
     out = np.zeros(n + 1, np.int64)
@@ -144,26 +151,22 @@ def covered(streams: list[np.ndarray]) -> list[np.ndarray]:
         first, last = p[start], p[np.concatenate((np.flatnonzero(start)[1:] - 1, [n - 1]))]
         hit = order[(first != last)[group]]
         hit = hit[left[hit] >= LONG]
-        np.add.at(out, hit, 1)
-        np.add.at(out, hit + LONG, -1)
+        if also is not None:
+            hit = np.union1d(hit, also)
+        out[hit] += 1  # a place is there once
+        out[hit + LONG] -= 1
     flags = np.cumsum(out[:-1]) > 0
     return np.split(flags, np.cumsum(size)[:-1]) if size else []
 
 
-def _under(stream: np.ndarray, hit: np.ndarray) -> np.ndarray:
-    """Tokens in a run that is hit; hit: for each place where a run of LONG tokens starts."""
-    out = np.zeros(len(stream) + 1, np.int64)
-    out[: len(hit)] += hit
-    out[LONG : LONG + len(hit)] -= hit
-    return np.cumsum(out[:-1]) > 0
-
-
-def _tokens(text: str) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(w) for w in text.split(" ")], np.uint64)
-
-
-def _stream(each: list[np.ndarray]) -> np.ndarray:
-    return np.concatenate(each) if each else np.zeros(0, np.uint64)
+def streams(texts: list[str]) -> list[np.ndarray]:
+    """The hashes of each text's tokens; each different token is hashed once."""
+    words = pc.split_pattern(pa.array([t.replace("\n", " ") for t in texts if t], pa.large_string()), " ")
+    coded = words.flatten().dictionary_encode()
+    hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()], np.uint64)
+    flat, offs = hashes[coded.indices.to_numpy()], words.offsets.to_numpy()
+    found = iter(zip(offs[:-1], offs[1:]))
+    return [flat[slice(*next(found))] if t else flat[:0] for t in texts]
 
 
 _FACTORS = np.array([xxhash.xxh3_64_intdigest(f"run{k}") | 1 for k in range(2 * LONG + 2)], np.uint64)
@@ -180,53 +183,112 @@ def runs(stream: np.ndarray, host: int, second: bool = False) -> np.ndarray:
     return out
 
 
-def _counted(buckets: int):
-    """Each step's runs by bucket: their hashes, prints of the streams that hold them and the blocks to answer, of a run in a block two streams at most."""
+def packed(keys: np.ndarray) -> bytes:
+    """Sorted 64-bit keys, as differences by planes of bytes, compressed."""
+    planes = np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T
+    return len(keys).to_bytes(4, "little") + pa.Codec("zstd", compression_level=1).compress(np.ascontiguousarray(planes), asbytes=True)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:4], "little")
+    planes = np.frombuffer(pa.Codec("zstd").decompress(data[4:], 8 * n, asbytes=True), np.uint8).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _name(*of: int) -> int:
+    """A signed 64-bit name of a block or a stream."""
+    return xxhash.xxh3_64_intdigest(":".join(map(str, of))) - (1 << 63)
+
+
+def _print(text: str) -> int:
+    """A print of a text's stream."""
+    return xxhash.xxh3_64_intdigest(text.replace("\n", " ")) - (1 << 63)
+
+
+def _parsed(batches: Iterator[pa.RecordBatch], only: dict | None = None) -> Iterator[list[tuple]]:
+    """Host's number, host, page_id, url, text, marked of each step's pages; only those of the slots named."""
+    for b in steps(batches, "html"):
+        if only is not None:
+            b = b.filter(pa.array([n % SLOTS in only for n in b.column(0).to_pylist()], pa.bool_()))
+        rows = []
+        for *names, page in zip(*(c.to_pylist() for c in b.columns)):
+            own, marked = blocks(page or "")
+            rows.append((*names, "\n".join(own), marked))
+        yield rows
+
+
+def _together(parts: Iterator[list[tuple]], most: int) -> Iterator[list[tuple]]:
+    held, size = [], 0
+    for rows in parts:
+        held += rows
+        size += sum(len(r[4]) for r in rows)
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in _parsed(batches):
+        cols = [r[0] for r in rows], [_print(r[4]) for r in rows], [len(r[4].encode()) for r in rows]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["number", "print", "bytes"])
+
+
+def _counted(parts: dict[int, int], heavy: dict[tuple[int, int], int], buckets: int, own: range, most: int) -> Callable:
+    """Of long hosts' pages, the runs by bucket (those of ``own``) and block: sorted hashes, each once, and the number of blocks to answer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in steps(batches, "text", BUCKET_BYTES):
-            found = []
-            for host, block, text in zip(*(c.to_pylist() for c in b.columns)):
-                stream = _stream([_tokens(x) for x in _lines(text)])
-                key = runs(stream, host)
+        for rows in _together(_parsed(batches, parts), most):
+            by: dict[tuple[int, int], dict] = {}
+            for r in rows:
+                p = _print(r[4])
+                m = heavy.get((r[0], p), 0)
+                by.setdefault((_name(r[0], p) if m else _name(r[0], 0, p % parts[r[0] % SLOTS]), m), {})[r[0], p] = r[4]
+            out = []
+            for (block, m), texts in by.items():
+                each = [(runs(s, n), runs(s, n, True)) for (n, _), s in zip(texts, streams(list(texts.values())))]
+                key, bucket = (np.concatenate(x) for x in zip(*each))
+                bucket = (bucket >> np.uint64(33)) % np.uint64(buckets)
+                mine = (bucket >= own.start) & (bucket < own.stop)
+                key, bucket = key[mine], bucket[mine]
+                order = np.lexsort((key, bucket))
+                key, bucket = key[order], bucket[order]
                 if len(key):
-                    bucket = (runs(stream, host, True) >> np.uint64(33)) % np.uint64(buckets)
-                    page = np.full(len(key), xxhash.xxh3_64_intdigest(stream.tobytes()) & 0xFFFFFFFF, np.uint32)
-                    found.append((bucket.astype(np.uint32), np.full(len(key), block, np.int32), page, key))
-            if not found:
-                continue
-            bucket, block, page, key = (np.concatenate(x) for x in zip(*found))
-            order = np.lexsort((page, block, key))
-            bucket, block, page, key = (x[order] for x in (bucket, block, page, key))
-            edge = np.concatenate(([True], (key[1:] != key[:-1]) | (block[1:] != block[:-1]), [True]))
-            keep = edge[:-1] | edge[1:] & (page != page[np.maximum.accumulate(np.where(edge[:-1], np.arange(len(key)), 0))])
-            bucket, block, page, key = (x[keep] for x in (bucket, block, page, key))
-            order = np.lexsort((page, block, bucket))
-            bucket, block, page, key = (x[order] for x in (bucket, block, page, key))
-            at = np.concatenate(([0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(key)]))
-            parts = list(zip(at[:-1], at[1:]))
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[at[:-1]].astype(np.int32)), *(pa.array([x[i:j].tobytes() for i, j in parts], pa.binary()) for x in (key, page, block))], ["bucket", "key", "page", "block"])
+                    new = np.concatenate(([True], (key[1:] != key[:-1]) | (bucket[1:] != bucket[:-1])))
+                    key, bucket = key[new], bucket[new]
+                    at = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(key)]
+                    out += [(int(bucket[i]), block, m, packed(key[i:j])) for i, j in zip(at, at[1:])]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.int32(), pa.binary()))], ["bucket", "block", "spread", "keys"])
 
     return run
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by bucket: for each block the hashes of its runs that two different streams hold."""
+    """Rows come sorted by bucket: for each block the hashes of its runs that another block holds too."""
     held, last = [], None
 
     def done():
-        key, page, block = (np.frombuffer(b"".join(r[k] for r in held), kind) for k, kind in ((1, np.uint64), (2, np.uint32), (3, np.int32)))
+        number: dict[tuple[int, int], int] = {}
+        which = [number.setdefault((r[1], r[2]), len(number)) for r in held]
+        each = [unpacked(r[3]) for r in held]
+        key, block = np.concatenate(each), np.repeat(np.array(which, np.int32), [len(k) for k in each])
         order = np.lexsort((block, key))
-        key, page, block = (x[order] for x in (key, page, block))
-        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        two = np.minimum.reduceat(page, start) != np.maximum.reduceat(page, start)
-        keep = np.repeat(two, np.diff(np.append(start, len(key))))
-        keep[1:] &= (key[1:] != key[:-1]) | (block[1:] != block[:-1])
-        key, block = key[keep], block[keep]
-        order = np.argsort(block, kind="stable")
         key, block = key[order], block[order]
-        at = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(key)] if len(key) else [0]
-        return pa.RecordBatch.from_arrays([pa.array(block[at[:-1]], pa.int32()), pa.array([key[i:j].tobytes() for i, j in zip(at, at[1:])], pa.binary())], ["block", "keys"])
+        new = np.concatenate(([True], (key[1:] != key[:-1]) | (block[1:] != block[:-1])))  # steps may send the same
+        key, block = key[new], block[new]
+        same = key[1:] == key[:-1]
+        two = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+        key, block = key[two], block[two]
+        order = np.argsort(block, kind="stable")
+        key, edges = key[order], np.searchsorted(block[order], np.arange(len(number) + 1))
+        out = []
+        for (name, m), i, j in zip(number, edges, edges[1:]):
+            if i < j:
+                data = packed(key[i:j])
+                out += [(x, data) for x in ([_name(name, k) for k in range(m)] if m else [name])]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.binary())], ["block", "data"])
 
     for b in batches:
         for row in zip(*(c.to_pylist() for c in b.columns)):
@@ -246,67 +308,88 @@ def _lines(text: str) -> list[str]:
 def main_texts(pages: list[tuple[str, bool]], host: int = 0, repeated: np.ndarray | None = None) -> list[tuple[str, int]]:
     """The main text of each page of a host, and how many of its tokens stand in a run that another page has too. A page is what structure
     leaves of it (a line a block) and whether it marks its article. If pages are but a block of the host, ``repeated`` holds the hashes of
-    the runs that two different streams of it share.
+    the runs that other blocks of it have too.
 
     The lines of all pages make the streams; those of pages that mark no article lose their covered runs. Pages of equal streams are copies
     and count as one page.
     """
-    each = [[_tokens(x) for x in _lines(text)] for text, _ in pages]
-    streams = [_stream(e) for e in each]
-    number: dict[bytes, int] = {}
-    which = [number.setdefault(s.tobytes(), len(number)) for s in streams]
-    distinct = [np.frombuffer(s, np.uint64) for s in number]
-    flagged = covered(distinct) if repeated is None else [_under(s, np.isin(runs(s, host), repeated)) for s in distinct]
+    number: dict[str, int] = {}
+    which = [number.setdefault(text.replace("\n", " "), len(number)) for text, _ in pages]
+    distinct = streams(list(number))
+    also = None
+    if repeated is not None and len(repeated):
+        hashes = [runs(s, host) for s in distinct]
+        starts = np.concatenate(([0], np.cumsum([len(s) for s in distinct])[:-1]))
+        places = np.concatenate([np.arange(len(h)) + at for h, at in zip(hashes, starts)])
+        also = places[np.isin(np.concatenate(hashes), repeated)].astype(np.int64)
+    flagged = covered(distinct, also)
     out = []
-    for (whole, marked), tokens, k in zip(pages, each, which):
+    for (whole, marked), k in zip(pages, which):
         flags = flagged[k]
         if marked:
             out.append((whole, int(flags.sum())))
             continue
         kept, at = [], 0
-        for text, t in zip(_lines(whole), tokens):
-            gone = flags[at : at + len(t)].tolist()
-            at += len(t)
+        for text in _lines(whole):
+            words = text.split(" ")
+            gone = flags[at : at + len(words)].tolist()
+            at += len(words)
             if not all(gone):
-                kept.append(" ".join(w for w, x in zip(text.split(" "), gone) if not x))
+                kept.append(" ".join(w for w, x in zip(words, gone) if not x))
         out.append(("\n".join(kept), 0))
     return out
 
 
 _OUT = "page_id long, url string, text string, n_chars long, n_repeated long"
-_PARSED = "host string, page_id long, url string, text string, marked boolean"
 
 
-def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in steps(batches, "html"):
-        found = [blocks(p or "") for p in b.column(3).to_pylist()]
-        cols = [*b.columns[:3], pa.array(["\n".join(own) for own, _ in found], pa.string()), pa.array([marked for _, marked in found], pa.bool_())]
-        yield pa.RecordBatch.from_arrays(cols, ["host", "page_id", "url", "text", "marked"])
+def _dealt(parts: dict[int, int], heavy: dict[tuple[int, int], int], most: int) -> Callable:
+    """Pages packed by block: host's number, host, page_id, url, text, marked of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", compression_level=3)
+        for rows in _together(_parsed(batches), most):
+            by: dict[int, list] = {}
+            for k, r in enumerate(rows):
+                n = parts.get(r[0] % SLOTS)
+                p = _print(r[4]) if n else 0
+                m = heavy.get((r[0], p)) if n else None
+                by.setdefault(_name(_name(r[0], p), k % m) if m else _name(r[0], 0, p % n) if n else _name(r[0]), []).append(r)
+            size, data = [], []
+            for own in by.values():
+                plain = json.dumps(own, ensure_ascii=False).encode()
+                size.append(len(plain))
+                data.append(codec.compress(plain, asbytes=True))
+            yield pa.RecordBatch.from_arrays([pa.array(list(by), pa.int64()), pa.array(size, pa.int64()), pa.array(data, pa.binary())], ["block", "size", "data"])
+
+    return run
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by block, those with its repeated runs first, then by host and salt; the pages of a host in a block are held at a time."""
-    held, key, repeated, block = [], None, [], None
+    """Rows come sorted by block; those without a size are its repeated runs. The pages of a block are held at a time."""
+    held, repeated, last = [], [], None
 
     def done():
-        hashes = np.frombuffer(b"".join(repeated), np.uint64) if held[0][7] else None
-        texts = main_texts([(r[6], r[10]) for r in held], held[0][8], hashes)
-        return pa.RecordBatch.from_arrays([pa.array([r[4] for r in held], pa.int64()), pa.array([r[5] for r in held], pa.string()), pa.array([t for t, _ in texts], pa.string()), pa.array([len(t) for t, _ in texts], pa.int64()), pa.array([n for _, n in texts], pa.int64())], ["page_id", "url", "text", "n_chars", "n_repeated"])
-
+        keys = np.concatenate(repeated) if repeated else None
+        hosts: dict[tuple[int, str], list] = {}
+        for r in held:
+            hosts.setdefault((r[0], r[1]), []).append(r)
+        for (number, _), own in hosts.items():
+            texts = main_texts([(r[4], r[5]) for r in own], number, keys)
+            yield pa.RecordBatch.from_arrays([pa.array([r[2] for r in own], pa.int64()), pa.array([r[3] for r in own], pa.string()), pa.array([t for t, _ in texts], pa.string()), pa.array([len(t) for t, _ in texts], pa.int64()), pa.array([n for _, n in texts], pa.int64())], ["page_id", "url", "text", "n_chars", "n_repeated"])
+
+    codec = pa.Codec("zstd")
     for b in batches:
-        for row in zip(*(c.to_pylist() for c in b.columns)):
-            if row[:4] != key and held:
-                yield done()
-                held = []
-            if row[0] != block:
-                block, repeated = row[0], []
-            key = row[:4]
-            if row[1]:
-                held.append(row)
+        for block, size, data in zip(*(c.to_pylist() for c in b.columns)):
+            if block != last:
+                yield from done()
+                held, repeated, last = [], [], block
+            if size is None:
+                repeated.append(unpacked(data))
             else:
-                repeated.append(row[9])
-    if held:
-        yield done()
+                held += json.loads(codec.decompress(data, size, asbytes=True))
+    yield from done()
+    trim()
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -319,21 +402,23 @@ def extract(pages: DataFrame) -> DataFrame:
     ship(pages.sparkSession)
     scratch = Scratch(pages.sparkSession)
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
-    read = pages.select(host.alias("host"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    parsed = scratch.save(read.mapInArrow(_parsed, _PARSED), "parsed")
-    rows = parsed.withColumn("slot", F.pmod(F.xxhash64("host"), F.lit(SLOTS)))
-    parts = rows.groupBy("slot").agg(F.sum(F.octet_length("text")).alias("bytes")).withColumn("parts", F.ceil(F.col("bytes") / BLOCK_BYTES)).where("parts > 1")
-    parts = scratch.save(parts, "parts")
-    many = parts.agg(F.sum("bytes")).first()[0] or 0
-    dealt = rows.join(F.broadcast(parts), "slot", "left")  # SLOTS rows at most
-    dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("parts", F.lit(1)))).withColumn("number", F.xxhash64("host"))
-    dealt = dealt.withColumn("block", F.hash("host", "salt"))  # hosts may share one: each looks up its own runs
-    dealt = dealt.select("block", F.lit(1).alias("kind"), "host", "salt", "page_id", "url", "text", F.col("parts").isNotNull().alias("wide"), "number", F.lit(None).cast("binary").alias("keys"), "marked")
-    if many:
-        counted = dealt.where("wide").select("number", "block", "text").mapInArrow(_counted(-(-many // BUCKET_BYTES)), "bucket int, key binary, page binary, block binary")
-        repeated = scratch.save(counted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_repeated, "block int, keys binary"), "repeated")
-        del counted
-        scratch.release()
-        dealt = dealt.unionByName(repeated.withColumn("kind", F.lit(0)), allowMissingColumns=True)
-    dealt = dealt.repartition("block").sortWithinPartitions("block", "kind", "host", "salt", "page_id")
-    return dealt.mapInArrow(_extracted, _OUT)
+    read = pages.select(F.xxhash64(host).alias("number"), host.alias("host"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    sizes = scratch.save(read.mapInArrow(_sized, "number long, print long, bytes long"), "sizes").withColumn("slot", F.pmod("number", F.lit(SLOTS)))
+    total = sizes.agg(F.sum("bytes")).first()[0] or 0
+    # both have a row for BLOCK_BYTES of text at most
+    parts = {r.slot: -(-r.bytes // BLOCK_BYTES) for r in sizes.groupBy("slot").agg(F.sum("bytes").alias("bytes")).where(F.col("bytes") > BLOCK_BYTES).collect()}
+    heavy = {(r.number, r.print): -(-r.bytes // BLOCK_BYTES) for r in sizes.groupBy("number", "print").agg(F.sum("bytes").alias("bytes")).where(F.col("bytes") > BLOCK_BYTES).collect()} if parts else {}
+    dealt = read.mapInArrow(_dealt(parts, heavy, PACK_BYTES), "block long, size long, data binary")
+    if parts:
+        long = sizes.groupBy("slot").agg(F.sum("bytes").alias("bytes")).where(F.col("bytes") > BLOCK_BYTES).agg(F.sum("bytes")).first()[0]
+        buckets, rounds = -(-long // BUCKET_BYTES), -(-2 * long // total)  # a round's runs take about as much room as all packed texts
+        edges = [buckets * k // rounds for k in range(rounds + 1)]
+        for own in map(range, edges, edges[1:]):
+            if own:
+                counted = read.mapInArrow(_counted(parts, heavy, buckets, own, BUCKET_BYTES), "bucket int, block long, spread int, keys binary")
+                repeated = scratch.save(counted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_repeated, "block long, data binary"), "repeated")
+                del counted
+                scratch.release()
+                scratch.release()  # some of it is found unused only by the collector's second run
+                dealt = dealt.unionByName(repeated, allowMissingColumns=True)
+    return dealt.repartition("block").sortWithinPartitions("block").mapInArrow(_extracted, _OUT)

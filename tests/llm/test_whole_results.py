@@ -1,12 +1,16 @@
 """Results are whole, and the same whatever the input's size or the blocks it is dealt to."""
 
 import collections
+import os
+import pathlib
+from urllib.parse import urlparse
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from gridloom.llm import html_text, ngram_join, registry
 from gridloom.llm.common import Scratch
+from gridloom.sources.shared import shared_root
 
 
 def test_copies_of_an_unmarked_page_keep_their_text(spark):
@@ -42,6 +46,29 @@ def test_a_host_in_blocks_gives_what_a_host_in_one_gives(spark, monkeypatch):
     assert sum("n_repeated=0" not in x for x in want) > 10
 
 
+def test_a_stream_whose_copies_are_longer_than_a_block_is_spread(spark, monkeypatch):
+    """Copies in many blocks still count as one page, and all of them learn what another page shares with them."""
+    words = lambda k, n: " ".join(f"{k}w{i}" for i in range(n))
+    rows = [(i, f"http://h/{i}", f"<article><p>{words('c', 40)}</p></article>") for i in range(40)] + [(40 + i, f"http://h/u{i}", f"<p>{words('d', 30)}</p>") for i in range(40)]
+    rows += [(100, "http://h/a", f"<article><p>x {words('c', 9)} y</p></article>"), (101, "http://h/b", f"<p>x {words('d', 9)} y</p>"), *((200 + i, f"http://h/o{i}", f"<p>{words(f'o{i}', 30)}</p>") for i in range(10))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    want = sorted(map(repr, html_text.extract(df).collect()))
+    assert sum("n_repeated=9" in x for x in want) == 41 and "Row(page_id=101, url='http://h/b', text='x y', n_chars=3, n_repeated=0)" in want
+    monkeypatch.setattr(html_text, "BLOCK_BYTES", 900)
+    monkeypatch.setattr(html_text, "BUCKET_BYTES", 2000)
+    assert sorted(map(repr, html_text.extract(df).collect())) == want
+
+
+def test_pages_leave_less_on_disk_than_half_as_much_again_as_they_take(spark, monkeypatch):
+    """Bytes shuffled and written to scratch tables; hosts of one block and of many."""
+    monkeypatch.setattr(html_text, "BLOCK_BYTES", 1 << 17)
+    path, scratch = "/root/testdata/sf0.1/pages.parquet", pathlib.Path(urlparse(shared_root(spark)).path)
+    moved = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite() + sum(f.stat().st_size for f in scratch.rglob("*.parquet") if f.is_file())
+    before = moved()
+    assert html_text.extract(spark.read.parquet(path)).selectExpr("sum(n_chars)").first()[0] > 0
+    assert 0 < moved() - before < 1.5 * os.path.getsize(path)
+
+
 def test_reshard_returns_shards_that_stay(spark, tmp_path):
     """Equal sizes: old shard 0 holds just its new capacity, so it is not written again."""
     by = collections.defaultdict(list)
